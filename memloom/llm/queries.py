@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from memloom.llm.encode import encode_corpus
 from memloom.llm.pack import pack_corpus, packing_report
+from memloom.llm.spam import spam_pages
 from memloom.llm.terms import one_per_record, term_frequencies
 from memloom.sources.tables import table
 
@@ -28,7 +29,11 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_packed(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_report": p7_report}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_report": p7_report}
 
 ORACLES = {
     "p1_found": r"""
