@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from memloom.llm.encode import encode_corpus
 from memloom.llm.pack import pack_corpus, packing_report
+from memloom.llm.pii import find_spans, redact
 from memloom.llm.spam import spam_pages
 from memloom.llm.terms import one_per_record, term_frequencies
 from memloom.sources.tables import table
@@ -17,6 +18,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequencies(memories.unionByName(questions))
 
 
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_spans(table(spark, sf_dir, "turns"), table(spark, sf_dir, "person_names"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).select("turn_id", "pii_type", "start_pos")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(table(spark, sf_dir, "turns"), _spans(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -33,7 +46,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_report": p7_report}
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
+    "p8_found": p8_found,
+    "p1_found": p1_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_report": p7_report}
 
 ORACLES = {
     "p1_found": r"""
