@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from memloom.llm.encode import encode_corpus
 from memloom.llm.pack import pack_corpus, packing_report
+from memloom.llm.pairs import broken_pairs, qa_and_prediction_pairs
 from memloom.llm.pii import find_spans, redact
 from memloom.llm.spam import spam_pages
 from memloom.llm.terms import one_per_record, term_frequencies
@@ -30,6 +31,10 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "turns"), _spans(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_pairs(qa_and_prediction_pairs(table(spark, sf_dir, "qa_items"), table(spark, sf_dir, "predictions")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -47,10 +52,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
+    "p5_found": p5_found,
+    "p6_ids": p6_ids,
+    "p7_packed": p7_packed,
+    "p7_report": p7_report,
     "p8_found": p8_found,
-    "p1_found": p1_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_report": p7_report}
+}
 
 ORACLES = {
     "p1_found": r"""
