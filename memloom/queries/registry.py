@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("records",)
+MODULES = ("records", "memory")
 
 
 def collect(kind: str) -> dict:

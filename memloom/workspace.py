@@ -54,3 +54,14 @@ def materialize(df: DataFrame, name: str, *, partition_by: list[str] | None = No
     writer.parquet(path)
     _MADE.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in enough partitions for work that is heavy for its bytes (adaptive execution sizes partitions by bytes).
+
+    The number is the session's shuffle partitions, which the cluster sets by the size of the data, and at least
+    two for each core.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys) if keys else df.repartition(n)
