@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.workspace import materialize
+from memloom.workspace import materialize, spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 #: Spans of each kind on which the final classifier is trained at most, those with the smallest hash.
@@ -166,6 +166,7 @@ class Names:
     given_heads: frozenset = frozenset()
     given_tails: frozenset = frozenset()
     longer: frozenset = field(default_factory=frozenset)
+    votes: tuple[dict, dict] = field(default_factory=lambda: ({}, {}))
 
     @staticmethod
     def of(rows: list[tuple[str, str]]) -> Names:
@@ -191,21 +192,33 @@ class Names:
             frozenset(n for n in family if " " in n),
         )
 
+    def _remembered(self, which: int, word: str, vote) -> int:
+        known = self.votes[which]
+        if word not in known:
+            if len(known) > 200_000:
+                known.clear()
+            known[word] = vote(word.lower())
+        return known[word]
+
     def family_vote(self, word: str) -> int:
         """1 for a known family name, 2 for one built like known ones, 0 for neither."""
-        w = word.lower()
+        return self._remembered(0, word, self._family_vote)
+
+    def given_vote(self, word: str) -> int:
+        return self._remembered(1, word, self._given_vote)
+
+    def _family_vote(self, w: str) -> int:
         parts = w.split("-")
         if w in self.family or (len(parts) > 1 and any(p in self.family for p in parts)):
             return 1
         built = any(len(p) > 5 and p[:3] in self.family_heads and any(p[-k:] in self.family_tails for k in (2, 3, 4)) for p in parts)
         return 2 if built else 0
 
-    def given_vote(self, word: str) -> int:
-        w = word.lower()
+    def _given_vote(self, w: str) -> int:
         if w in self.given:
             return 1
         built = len(w) > 3 and w[:2] in self.given_heads and (w[-3:] in self.given_tails or w[-2:] in self.given_tails)
-        return 2 if built and not self.family_vote(word) else 0
+        return 2 if built and not self.family_vote(w) else 0
 
 
 # Ordinary words among the family names of most lists; alone in lower case they are no names.
@@ -364,6 +377,11 @@ def _people(text: str, names: Names) -> Iterator[tuple[int, int, tuple]]:
         first, last_word = i, i
         family, family_kind = word, names.family_vote(word)
         low = word.lower()
+        if not family_kind and low not in _PARTICLES:
+            # Not built like a family name: only behind an initial, a title or a given name.
+            before = words[i - 1][0] if i else ""
+            if not word[:1].isupper() or not (len(before) == 1 or before.lower() in _TITLES or before and names.given_vote(before)):
+                continue
         # Names of several words, and particles before a name.
         j = i
         if low in _PARTICLES and i + 1 < n:
@@ -543,7 +561,7 @@ def find_spans(df: DataFrame, person_names: DataFrame, *, id_col: str = "turn_id
     names = spark.sparkContext.broadcast(Names.of([tuple(r) for r in rows]))
     kind_sql = df.schema[id_col].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind_sql]
-    proposed = df.select(F.col(id_col).alias("id"), text_col).filter(F.col(text_col).isNotNull()).mapInArrow(
+    proposed = spread(df.select(F.col(id_col).alias("id"), text_col).filter(F.col(text_col).isNotNull())).mapInArrow(
         _propose(names, id_type), f"id {kind_sql}, kind string, start_pos bigint, end_pos bigint, votes array<tinyint>, context array<string>"
     )
     proposed = materialize(proposed, "spans")
