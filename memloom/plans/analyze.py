@@ -23,7 +23,8 @@ def split_combo(combo: Column) -> tuple[Column, Column]:
 def overall(summary: DataFrame, config: str = "config") -> DataFrame:
     """Overall rows with ``combo, extractor, retriever``."""
     e, r = split_combo(F.col(config))
-    return summary.filter("level = 'overall'").select(F.col(config).alias("combo"), e.alias("extractor"), r.alias("retriever"), "*").drop(config)
+    others = [c for c in summary.columns if c not in (config, "combo", "extractor", "retriever")]
+    return summary.filter("level = 'overall'").select(F.col(config).alias("combo"), e.alias("extractor"), r.alias("retriever"), *others)
 
 
 def matrix_pivot(summary: DataFrame, retrievers: list[str] | None = None, *, config: str = "config", metric: str = "qa_accuracy") -> DataFrame:
@@ -81,7 +82,7 @@ def main_tables(summary: DataFrame, config: str = "config") -> dict[str, str]:
     baseline = f"\n\nBaseline ({BASELINE}): {_share(acc[BASELINE])}" if BASELINE in acc else ""
     tex_rows = [" & ".join([c.replace("_", r"\_") for c in line]) + r" \\" for line in [["extractor", *retrievers], *body]]
     tex = "\n".join([r"\begin{tabular}{l" + "r" * len(retrievers) + "}", *tex_rows, r"\end{tabular}"])
-    by = {(r["config"] if "config" in r else r[config], r["category"]): r["qa_accuracy"] for r in (x.asDict() for x in summary.filter("level = 'category'").collect())}
+    by = {(r[config], r["category"]): r["qa_accuracy"] for r in (x.asDict() for x in summary.filter("level = 'category'").collect())}
     order = ([BASELINE] if BASELINE in acc else []) + [f"{e}+{r}" for e in extractors for r in retrievers if f"{e}+{r}" in acc]
     category = [[c, *[_share(by.get((c, k))) for k in CATEGORY_NAMES]] for c in order]
     deltas = [r.asDict() for r in ablation_deltas(summary, config=config).collect()]
