@@ -23,7 +23,7 @@ from memloom.workspace import materialize, spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 #: Spans of each kind on which the final classifier is trained at most, those with the smallest hash.
-FIT_SPANS = 6000
+FIT_SPANS = 4000
 #: Hashed context features of the classifier.
 CONTEXT_BUCKETS = 256
 EM_ROUNDS = 30
@@ -87,6 +87,10 @@ _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 _NUMBER_WORD = rf"(?:(?:{'|'.join(_TENS)})(?:[- ](?:{'|'.join(_SMALL[:9])}))?|{'|'.join(reversed(_SMALL))}|(?:one|a) hundred(?: and)?(?: (?:{'|'.join(_SMALL + _TENS)}))?)"
 _DIGIT_WORDS = """zero oh one two three four five six seven eight nine double triple null eins zwei zwo drei vier fünf sechs sieben acht neun
     zéro un deux trois quatre cinq sept huit neuf cero uno dos tres cuatro cinco seis siete ocho nueve""".split()
+_DIGIT_WORD = frozenset(_DIGIT_WORDS)
+_DIGIT = re.compile(r"\d")
+# Without a word built like a family name, a name needs a capital behind a capitalised word, an initial or a title.
+_TWO_CAPITALS = re.compile(r"\b(?:[^\W\d_a-z][\w'-]*|[^\W\d_]{1,4}\.)\s+[^\W\d_a-z]")
 _PARTICLES = frozenset("van von der den de la del di da le el zu zum".split())
 
 # ---------------------------------------------------------------- generators
@@ -457,11 +461,19 @@ def spans_of(text: str | None, names: Names) -> list[Span]:
     if not text:
         return []
     plain, places = tidy(text)
+    words = _WORD.findall(plain)
+    numbers = _DIGIT.search(plain) is not None
+    spoken = sum(w.lower() in _DIGIT_WORD for w in words) >= 7 if not numbers else True
+    named = (
+        any(names.family_vote(w[:-2] if w.endswith(("'s", "'S")) else w) for w in words)
+        or _TWO_CAPITALS.search(plain) is not None
+        or not _PARTICLES.isdisjoint(map(str.lower, words))
+    )
     out: list[Span] = []
     emails = list(_emails(plain))
     covered = [(s, e) for s, e, _ in emails]
     found = [("email", x) for x in emails]
-    ids = list(_ids(plain))
+    ids = list(_ids(plain)) if numbers else []
     masked = plain
     for start, end, votes in ids:
         if votes[0] > 0 and votes[1] >= 0:
@@ -471,7 +483,7 @@ def spans_of(text: str | None, names: Names) -> list[Span]:
     for start, end, votes in streets:
         if votes[0] > 0 and votes[1] >= 0:
             people = people[:start] + "|" * (end - start) + people[end:]
-    for kind, spans in (("phone", _phones(masked)), ("id_number", iter(ids)), ("street_address", iter(streets)), ("person_name", _people(people, names))):
+    for kind, spans in (("phone", _phones(masked) if spoken else ()), ("id_number", ids), ("street_address", streets), ("person_name", _people(people, names) if named else ())):
         found += [(kind, x) for x in spans if not any(s < x[1] and x[0] < e for s, e in covered)]
     for kind, (start, end, votes) in found:
         left, right = _WORD.findall(plain[max(0, start - 40) : start].lower()), _WORD.findall(plain[end : end + 25].lower())
@@ -521,7 +533,7 @@ def _features(votes: np.ndarray, context: list[tuple[str, str, str]]) -> np.ndar
     return x
 
 
-def train_classifier(votes: np.ndarray, context: list, targets: np.ndarray, rounds: int = 300) -> np.ndarray:
+def train_classifier(votes: np.ndarray, context: list, targets: np.ndarray, rounds: int = 150) -> np.ndarray:
     """Logistic regression on soft labels by gradient descent; the context's weights are held small."""
     x = _features(votes, context)
     w = np.zeros(x.shape[1])
