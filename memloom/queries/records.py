@@ -56,7 +56,39 @@ with qa as (
 )
 """
 
+
+
+def _document(column: str) -> str:
+    """SQL for the JSON of a text that is wholly valid, unwrapped if it holds its JSON as one string."""
+    unwrapped = f"case when json_valid({column}) then case when json_type({column}) = 'VARCHAR' then json_extract_string({column}, '$') else {column} end end"
+    return f"(select record_id, case when json_valid(t) then t::json end c from (select record_id, {unwrapped} t from locomo10))"
+
+
+def _listed(v: str) -> str:
+    """SQL for an array's elements; a lone value is an array of one, null or missing an empty one."""
+    return f"case when {v} is null or json_type({v}) = 'NULL' then []::json[] when json_type({v}) = 'ARRAY' then {v}::json[] else [{v}] end"
+
+
+_P2 = f"""
+with k as (select record_id, c, unnest(json_keys(c)) sid from {_document('conversation')} where json_type(c) = 'OBJECT'),
+s as (select record_id, sid, json_extract(c, '$."' || sid || '"') v from k where regexp_full_match(sid, 'session_[0-9]+')),
+s1 as (select * from s where json_type(v) <> 'NULL'),
+t as (select record_id, sid, unnest({_listed('v')}) t, unnest(range(len({_listed('v')}))) i from s1),
+t1 as (select *, {_listed("json_extract(t, '$.img_url')")} urls from t where json_type(t) <> 'NULL'),
+u as (select record_id, sid, i, unnest(urls) url, unnest(range(len(urls))) j from t1),
+q as (select record_id, unnest({_listed('c')}) q, unnest(range(len({_listed('c')}))) i from {_document('qa')}),
+q1 as (select *, {_listed("json_extract(q, '$.evidence')")} entries from q where json_type(q) <> 'NULL'),
+e as (select record_id, i, flatten(list_transform(entries, lambda x: regexp_extract_all(coalesce(json_extract_string(x, '$'), ''), 'D:?(\\d+):(\\d+)'))) ids from q1),
+e1 as (select record_id, i, unnest(ids) id, unnest(range(len(ids))) j from e)
+select record_id, 'session' node_kind, 'conversation/' || sid node_path, 'conversation' parent_path, sid node_key from s1
+union all select record_id, 'turn', 'conversation/' || sid || '/' || i, 'conversation/' || sid, coalesce(json_extract_string(t, '$.dia_id'), '') from t1
+union all select record_id, 'image', 'conversation/' || sid || '/' || i || '/img_url/' || j, 'conversation/' || sid || '/' || i, json_extract_string(url, '$') from u where json_type(url) <> 'NULL'
+union all select record_id, 'qa', 'qa/' || i, 'qa', coalesce(json_extract_string(q, '$.category'), '') from q1
+union all select record_id, 'evidence', 'qa/' || i || '/evidence/' || j, 'qa/' || i, 'D' || regexp_extract(id, 'D:?(\\d+):(\\d+)', 1)::bigint || ':' || regexp_extract(id, 'D:?(\\d+):(\\d+)', 2)::bigint from e1
+"""
+
 ORACLES = {
+    "p2_found": _P2,
     "p4_found": _P4 + "select * from judged where status <> 'there'",
     "p4_orphan_report": _P4 + "select src_table, period_month, status, count(*) n_orphans from judged where status <> 'there' group by all",
 }
