@@ -8,12 +8,15 @@ lineage, so a recomputed stage never repeats the expensive part before it.
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
+_SHIPPED: set[str] = set()
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -65,3 +68,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys) if keys else df.repartition(n)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application (it need not be installed there)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="memloom-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "memloom"), "zip", os.path.dirname(package), os.path.basename(package)))
