@@ -48,7 +48,7 @@ _SAME = str.maketrans(
 def tidy(text: str) -> tuple[str, list[int] | None]:
     """The text with plain spaces, hyphens, quotes and letters, and the place of each of its characters (None: the same)."""
     if text.isascii():
-        return text.translate(_SAME), None
+        return text if text.isprintable() else text.translate(_SAME), None
     chars, places = [], []
     for i, c in enumerate(text):
         if c in _INVISIBLE:
@@ -102,7 +102,6 @@ _LOCAL = rf"[^\W_](?:[\w+%'-]|{_DOT}(?=\w))*"
 _DOMAIN = rf"(?:[\w-]+{_DOT})+[^\W\d_]{{2,}}"
 _EMAIL = re.compile(rf"(?<![\w.+%-])({_LOCAL})({_AT})({_DOMAIN})", re.I)
 _SPELLED_EMAIL = re.compile(rf"(?<![\w.+%-])([^\W_][\w.+%'-]*)({_SPELLED_AT})({_DOMAIN})", re.I)
-_EMAIL_HINT = re.compile(r"@|\bat\b|arroba", re.I)
 _PHONE = re.compile(r"(?<![\w#/.-])(?:\+\s?|\()?\d(?:[\s().\-/]{0,3}\d){8,14}(?![\w-])")
 _SPOKEN = re.compile(rf"\b(?:{'|'.join(_DIGIT_WORDS)})(?:[\s,-]+(?:{'|'.join(_DIGIT_WORDS)})){{6,14}}\b", re.I)
 _ID = re.compile(
@@ -126,7 +125,6 @@ _STRASSE = re.compile(
     re.I,
 )
 _BOX = re.compile(r"\b(?:p\.?\s?o\.?\s?box|post office box|postfach|apartado(?: de correos)?|bo[iî]te postale|b\.?p\.?|casilla)\s*(?:n[.º°o]\s*)?\d{1,6}\b", re.I)
-_WHERE = re.compile(r"\d|\bbox\b|" + rf"\b(?:{'|'.join(_SMALL + _TENS)})\b", re.I)
 
 # ---------------------------------------------------------------- contexts
 
@@ -249,8 +247,6 @@ def _vote(yes: bool, no: bool = False) -> int:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int, tuple]]:
-    if not _EMAIL_HINT.search(text):
-        return
     covered: list[tuple[int, int]] = []
     for pattern in (_EMAIL, _SPELLED_EMAIL):
         at = 0
@@ -318,10 +314,8 @@ def _ids(text: str) -> Iterator[tuple[int, int, tuple]]:
         yield m.start(), m.end(), votes
 
 
-def _streets(text: str) -> Iterator[tuple[int, int, tuple]]:
-    if not _WHERE.search(text):
-        return
-    for pattern in (_STREET, _RUE, _CALLE, _STRASSE, _BOX):
+def _streets(text: str, patterns: list[re.Pattern]) -> Iterator[tuple[int, int, tuple]]:
+    for pattern in patterns:
         for m in pattern.finditer(text):
             left, right = _sides(text, m.start(), m.end())
             here = bool(_SAYS["street_address"].search(left))
@@ -359,7 +353,13 @@ def _people(text: str, names: Names) -> Iterator[tuple[int, int, tuple]]:
             word, end = word[:-2], end - 2
         words.append((word, m.start(), end))
     shouting = text.upper() == text
-    french = bool(re.search(r"\b(?:j'ai|hier|a appelé|le|les|est|et|suis|avec)\b", text, re.I))
+    french: list[bool] = []
+
+    def is_french() -> bool:
+        if not french:
+            french.append(bool(re.search(r"\b(?:j'ai|hier|a appelé|le|les|est|et|suis|avec)\b", text, re.I)))
+        return french[0]
+
     n = len(words)
 
     def gap(i: int) -> str:
@@ -401,7 +401,7 @@ def _people(text: str, names: Names) -> Iterator[tuple[int, int, tuple]]:
         # What stands before the family name.
         title = given = initial = 0
         k = first - 1
-        if k >= 0 and words[k][0] == "M" and gap(k).strip() == "." and (french or names.given_vote(word)):
+        if k >= 0 and words[k][0] == "M" and gap(k).strip() == "." and (is_french() or names.given_vote(word)):
             title, k = 1, k - 1
         elif k >= 0 and is_initial(k) and (words[k][0].isupper() or words[k][0] not in "aist" + "m"):
             initial, first, k = 1, k, k - 1
@@ -462,15 +462,18 @@ def spans_of(text: str | None, names: Names) -> list[Span]:
         return []
     plain, places = tidy(text)
     words = _WORD.findall(plain)
+    low = {w.lower() for w in words}
     numbers = _DIGIT.search(plain) is not None
-    spoken = sum(w.lower() in _DIGIT_WORD for w in words) >= 7 if not numbers else True
+    spoken = numbers or not low.isdisjoint(_DIGIT_WORD) and sum(w.lower() in _DIGIT_WORD for w in words) >= 7
+    # All forms of an address but the English one need a figure, and that one needs a word for a street.
+    streets_by = ([_STREET] if not low.isdisjoint(_STREET_WORD) else []) + ([_RUE, _CALLE, _STRASSE, _BOX] if numbers else [])
     named = (
         any(names.family_vote(w[:-2] if w.endswith(("'s", "'S")) else w) for w in words)
         or _TWO_CAPITALS.search(plain) is not None
-        or not _PARTICLES.isdisjoint(map(str.lower, words))
+        or not low.isdisjoint(_PARTICLES)
     )
     out: list[Span] = []
-    emails = list(_emails(plain))
+    emails = list(_emails(plain)) if "@" in plain or "at" in low or "arroba" in low or "chez" in low else []
     covered = [(s, e) for s, e, _ in emails]
     found = [("email", x) for x in emails]
     ids = list(_ids(plain)) if numbers else []
@@ -478,7 +481,7 @@ def spans_of(text: str | None, names: Names) -> list[Span]:
     for start, end, votes in ids:
         if votes[0] > 0 and votes[1] >= 0:
             masked = masked[:start] + "|" * (end - start) + masked[end:]
-    streets = list(_streets(masked))
+    streets = list(_streets(masked, streets_by))
     people = masked
     for start, end, votes in streets:
         if votes[0] > 0 and votes[1] >= 0:
