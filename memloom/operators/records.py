@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def first_delivery(df: DataFrame, id_col: str, arrived: str) -> DataFrame:
     """Of the rows with one id the one that arrived first (ties have the same content); rows with a null id are kept.
 
-    Only the id and the arrival are shuffled with the rows that share an id; partial aggregation keeps one row of a
-    hot id for each task.
+    Partial aggregation keeps one row of an id for each task, so that an id with a third of all rows moves no more
+    rows than there are tasks.
     """
     others = [c for c in df.columns if c != id_col]
     order = F.struct(F.coalesce(F.col(arrived).cast("string"), F.lit("9")))

@@ -93,4 +93,5 @@ def load_qa(samples: DataFrame, id_col: str = "sample_id") -> DataFrame:
 
 def dataset_counts(samples: DataFrame, id_col: str = "sample_id") -> DataFrame:
     """One row: number of dialogues and of usable questions."""
-    return load_dialogues(samples, id_col).agg(F.count("*").alias("n_dialogues")).crossJoin(load_qa(samples, id_col).agg(F.count("*").alias("n_questions")))
+    kinds = load_dialogues(samples, id_col).select(F.lit(1).alias("d")).unionByName(load_qa(samples, id_col).select(F.lit(0).alias("d")))
+    return kinds.agg(F.count_if(F.col("d") == 1).alias("n_dialogues"), F.count_if(F.col("d") == 0).alias("n_questions"))
