@@ -54,18 +54,21 @@ def exact_match(predicted: Column, gold: Column) -> Column:
 
 def token_f1(predicted: Column, gold: Column) -> Column:
     """F1 of the two bags of normalised words; if one is empty, 1 if both are."""
-    p, g = split_words(normalize_answer(predicted)), split_words(normalize_answer(gold))
-
-    def times(bag: Column, w: Column) -> Column:
-        return F.size(F.filter(bag, lambda x: x == w))
-
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, w: acc + F.least(times(p, w), times(g, w)))
-    both = F.size(p) + F.size(g)
-    return (
-        F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double"))
-        .when(common == 0, F.lit(0.0))
-        .otherwise(2.0 * common / both)
-    )
+
+    def measure(p: Column, g: Column) -> Column:
+        def times(bag: Column, w: Column) -> Column:
+            return F.size(F.filter(bag, lambda x: x == w))
+
+        common = F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, w: acc + F.least(times(p, w), times(g, w)))
+        return (
+            F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double"))
+            .when(common == 0, F.lit(0.0))
+            .otherwise(2.0 * common / (F.size(p) + F.size(g)))
+        )
+
+    # The bags are bound once, as the one element of an array; inside the lambdas they would be made for every word.
+    bags = F.struct(split_words(normalize_answer(predicted)).alias("p"), split_words(normalize_answer(gold)).alias("g"))
+    return F.transform(F.array(bags), lambda s: measure(s["p"], s["g"]))[0]
 
 
 def parse_date(raw: Column) -> Column:
