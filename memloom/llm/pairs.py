@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from memloom.workspace import materialize, spread
 
-#: Words of an opening, shingle length, and the least similarity of two openings of one template.
-OPENING_WORDS = 12
+#: Words of an opening, shingle length, and the least similarity of two openings of one template.  Openings of 49
+#: words or more stay together when one word inside them changes: (n - 9) of (n + 1) shingles are shared.
+OPENING_WORDS = 64
 SHINGLE = 5
 SIMILARITY = 0.8
 #: MinHash: bands and rows in each; at 0.8 a pair shares a band with probability 0.9998.

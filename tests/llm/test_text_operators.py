@@ -116,6 +116,15 @@ def test_openings_cluster_by_verified_similarity(spark, monkeypatch):
     assert len({got[f"{base} friend{i}"] for i in range(5)}) == 1 and len(set(got.values())) == 2
 
 
+def test_a_changed_word_keeps_an_opening_in_its_template(spark):
+    said = "We have looked through every part of the {} and there is nothing in it that would help us with this one " + " ".join(f"so we went on to page {w} of it" for w in "one two three four five".split())
+    answers = [said.format(w) for w in ("conversation", "dialogue")] + ["At a market in the old town near the river."]
+    usual = frozenset(w for a in answers for w in P.tokens(a))
+    openings = [P.opening("Where did Ann buy the tent?", a, usual) for a in answers]
+    got = {r.opening: r.template for r in cluster_openings(spark.createDataFrame([(o,) for o in openings], "opening string")).collect()}
+    assert openings[0] != openings[1] and got[openings[0]] == got[openings[1]] != got[openings[2]]
+
+
 SPAM = {
     "keywords": "cheap notebook, best cheap notebook, cheap notebook online, buy cheap notebook, discount cheap notebook, " * 6,
     "links": "\n".join(f"[cheap notebook {i}](https://x{i}.example/a?id={i})" for i in range(12)),
