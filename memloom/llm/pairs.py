@@ -4,14 +4,17 @@ Refusals are found by their templates.  The opening of each answer is masked (wo
 equal openings are counted once, and the distinct ones are clustered by MinHash over five-word shingles, each
 candidate verified at a similarity of ``SIMILARITY``.  A cluster that recurs across unrelated prompts and whose
 answers decline is a refusal template; its members are refusals also where they don't say so themselves, and an
-answer that merely sounds like one inside a sound template is none.  Copies, languages and the termination of an
-answer are checked on the pair; whether an answer without a full stop is complete is judged by how often its last
-words end sentences in the whole collection.
+answer that merely sounds like one inside a sound template is none.  The phrases by which answers decline are only
+seeds: from the templates that have them the words of refusals are learned, and a cluster that is given evenly to
+unrelated prompts and is worded like the others is a refusal template without any of the phrases.  Copies, languages
+and the termination of an answer are checked on the pair; whether an answer without a full stop is complete is judged
+by how often its last words end sentences in the whole collection.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -36,6 +39,8 @@ FIRSTS = 64
 UNRELATED_PROMPTS = 3
 #: Share of a template's answers that must decline in words.
 DECLINING_SHARE = 0.5
+#: Log odds, in all and for each word, from which on the words of a template without such phrases are those of refusals.
+REFUSING_WORDS, REFUSING_WORD = 6.0, 1.0
 #: Most frequent words that keep their form in n-grams; all others are masked.
 FREQUENT_WORDS = 1500
 #: Those that keep their form in openings, so that equal templates fall together before they are clustered.
@@ -380,6 +385,27 @@ def cluster_openings(openings: DataFrame) -> DataFrame:
             return labels
 
 
+def refusing_by_words(labels: DataFrame, templates: DataFrame, asked_with: DataFrame) -> DataFrame:
+    """``template`` of the recurring clusters that don't decline in the phrases of ``declines``, but are worded like those that do.
+
+    ``labels``: ``opening, template``; ``templates``: ``template, declining, recurring``; ``asked_with``: ``opening, prompt, n``.
+    The words of each template are weighed by all others (smoothed log odds of a declining one), and its answers
+    must be spread over the prompts as evenly as over ``UNRELATED_PROMPTS`` equal ones.
+    """
+    words = labels.join(templates, "template").select("template", "declining", "recurring", F.explode(F.split("opening", " ")).alias("word")).filter("word not in ('_', '#', '')").distinct()
+    words = materialize(words, "words")
+    size = templates.agg(F.coalesce(F.sum(F.col("declining").cast("long")), F.lit(0)).alias("yes"), F.count("*").alias("all")).first()
+    known = words.groupBy("word").agg(F.sum(F.col("declining").cast("long")).alias("yes"), F.count("*").alias("all"))
+    # A template judged here is one that doesn't decline; it is left out of the counts.
+    own = words.filter("recurring and not declining").join(known.filter("all > 1"), "word")
+    odds = F.log((F.col("yes") + 0.5) / (size["yes"] + 1)) - F.log((F.col("all") - F.col("yes") - 1 + 0.5) / (size["all"] - size["yes"] + 1))
+    worded = own.groupBy("template").agg(F.sum(odds).alias("odds"), F.count("*").alias("n_words")).filter((F.col("odds") >= REFUSING_WORDS) & (F.col("odds") >= REFUSING_WORD * F.col("n_words")))
+    each = asked_with.join(labels.join(worded.select("template"), "template"), "opening").groupBy("template", "prompt").agg(F.sum("n").alias("n"))
+    # The entropy of equal shares of UNRELATED_PROMPTS prompts; a little less, as sums are not exact.
+    entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
+    return each.groupBy("template").agg(entropy.alias("entropy")).filter(F.col("entropy") >= math.log(UNRELATED_PROMPTS) - 1e-9).select("template")
+
+
 def broken_pairs(pairs: DataFrame) -> DataFrame:
     """``pair_table, pair_id, defect`` of every broken pair of ``pairs(pair_table, pair_id, question, answer)``.
 
@@ -430,12 +456,15 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     some = asked_with.withColumn("nth", F.row_number().over(Window.partitionBy("opening").orderBy("prompt"))).filter(F.col("nth") <= UNRELATED_PROMPTS)
     prompts = some.join(labels, "opening").select("template", "prompt").distinct().groupBy("template").agg(F.count("*").alias("n_prompts"))
     templates = openings.join(labels, "opening").groupBy("template").agg(F.sum("n").alias("n"), F.sum("n_declined").alias("n_declined")).join(prompts, "template")
-    recurring = F.col("n_prompts") >= UNRELATED_PROMPTS
-    verdict = F.when(recurring, F.col("n_declined") >= DECLINING_SHARE * F.col("n"))
-    verdicts = labels.join(templates, "template").select("opening", verdict.alias("refuses"))
+    declining = F.col("n_declined") >= DECLINING_SHARE * F.col("n")
+    templates = materialize(templates.select("template", declining.alias("declining"), (F.col("n_prompts") >= UNRELATED_PROMPTS).alias("recurring")), "votes")
+    worded = refusing_by_words(labels, templates, asked_with).withColumn("worded", F.lit(True))
+    verdict = F.when(F.col("recurring"), F.col("declining"))
+    verdicts = labels.join(templates, "template").join(worded, "template", "left").select("opening", verdict.alias("refuses"), F.coalesce("worded", F.lit(False)).alias("worded"))
 
     judged = checked.join(verdicts, "opening", "left").join(early, ["pair_table", "pair_id"], "left")
-    refuses = F.coalesce("refuses", "declined")
+    # An answer in another language is none in the words of refusals of its question's language.
+    refuses = F.coalesce("refuses", "declined") | F.coalesce(F.col("worded") & F.col("defect").isNull(), F.lit(False))
     defect = (
         F.when(F.col("defect").isin("empty", "copied_question"), F.col("defect"))
         .when(refuses, "refusal")

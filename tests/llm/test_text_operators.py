@@ -116,6 +116,18 @@ def test_openings_cluster_by_verified_similarity(spark, monkeypatch):
     assert len({got[f"{base} friend{i}"] for i in range(5)}) == 1 and len(set(got.values())) == 2
 
 
+def test_refusals_in_words_outside_the_phrases(spark):
+    asked = ["Who?", "Where did it happen?", "Why was it so?", "When will they go?", "What is in it?"]
+    listed = ["the context does not mention this", "i cannot answer this question", "there is no information about this in the conversation", "the conversation does not answer this question", "i do not know, the context has no information about this"]
+    listed = [f"{lead} {x}" for lead in ("sorry,", "unfortunately,", "i apologize,") for x in listed]
+    new = "Sorry, the conversation leaves this question without information in the context."
+    sound = [f"{a} {b} at the {c} near the river." for a in ("Ann", "Bo", "Cy") for b in ("bought a tent", "sold the old boat", "met a friend") for c in ("market", "harbour", "farm")]
+    rows = [(q, a) for a in [*listed, *sound, new] for q in asked]
+    df = spark.createDataFrame([("t", i, q, a) for i, (q, a) in enumerate(rows)], "pair_table string, pair_id bigint, question string, answer string")
+    got = {r.pair_id: r.defect for r in broken_pairs(df).collect()}
+    assert not P.declines(new) and {a for i, (q, a) in enumerate(rows) if got.get(i) == "refusal"} == {*listed, new}
+
+
 def test_a_changed_word_keeps_an_opening_in_its_template(spark):
     said = "We have looked through every part of the {} and there is nothing in it that would help us with this one " + " ".join(f"so we went on to page {w} of it" for w in "one two three four five".split())
     answers = [said.format(w) for w in ("conversation", "dialogue")] + ["At a market in the old town near the river."]
