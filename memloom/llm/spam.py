@@ -65,10 +65,11 @@ _TAG = re.compile(r"(?:^|\s)#[^\s#]+")
 _BETWEEN = re.compile(r" [>»|/·•›→] |\s\|\s|[>»|›→]\s")
 _PRODUCT = re.compile(r"\bSKU\W?\d|\b(?:EUR|USD|GBP)\s?\d|[€$£]\s?\d|\b\d+\.\d\d\s*\||\bin stock\b|\b\d{3}-[A-Z]\b")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+_STOP = re.compile(r"[.!?…](?:\s|$)|[。！？।؟]")
 _ENDS = frozenset(".!?…。！？\"”»)")
 
 # Numbers of values of the features, in the order of ``_symbol``.
-_SIZES = (4, 3, 5, 4, 3, 3, 3)
+_SIZES = (5, 3, 5, 5, 3, 3, 3)
 
 
 def lines_of(text: str) -> list[str]:
@@ -101,7 +102,9 @@ def symbols_of(lines: list[str]) -> list[int]:
     """One number for each line, which stands for the values of all its features.
 
     The shape of a line and the repetition of the page's own words say nothing about a line full of function
-    words, nor do any words in another script; there these features keep their plain value.
+    words.  Of a line in another script the function and shop words are unknown, a value that is as likely in each
+    state; its other features count.  Short words, among which its function words are, are no repeated ones there,
+    and repeated words say nothing where sentences end.
     """
     split = [_WORD.findall(line.lower()) for line in lines]
     counts: Counter = Counter()
@@ -123,26 +126,28 @@ def symbols_of(lines: list[str]) -> list[int]:
         repeated = sum(map(dense.__contains__, words)) / n if dense else 0.0
         again = shape = odd = 0
         foreign = not line.isascii() and _foreign(line)
+        own = dense
         if foreign:
-            function, shop, odd = 1.0, 0.0, 1
-        else:
-            if repeated > 0.25:
-                top = max(Counter(w for w in words if w in dense).values())
-                again = 0 if function >= 0.3 and not shop else 2 if top >= 3 else 1
-            if function < 0.3:
-                if "#" in line and len(_TAG.findall(line)) * 4 > n:
-                    shape = 3
-                elif _PRODUCT.search(line):
-                    shape = 4
-                elif len(_BETWEEN.findall(line)) >= 3:
-                    shape = 1
-                elif line.count(",") > 0.25 * n:
-                    shape = 2
-                if not words or max(map(len, words)) >= 40 or sum(map(str.isdigit, words)) > 0.5 * n:
-                    odd = 2
+            function, shop, odd = 0.0, 0.0, 1
+            own = {w for w in dense if len(w) >= 4 or len(w) >= 2 and w[0] > "\u2e80"}
+            repeated = 0.0 if _STOP.search(line) else sum(map(own.__contains__, words)) / n
+        if repeated > 0.25:
+            top = max(Counter(w for w in words if w in own).values())
+            again = 0 if function >= 0.3 and not shop else 2 if top >= 3 else 1
+        if function < 0.3:
+            if "#" in line and len(_TAG.findall(line)) * 4 > n:
+                shape = 3
+            elif _PRODUCT.search(line):
+                shape = 4
+            elif len(_BETWEEN.findall(line)) >= 3:
+                shape = 1
+            elif sum(map(line.count, ",،、，" if foreign else ",")) > (0.5 if foreign else 0.25) * n:
+                shape = 2
+            if not foreign and (not words or max(map(len, words)) >= 40 or sum(map(str.isdigit, words)) > 0.5 * n):
+                odd = 2
         ends = 0 if line.rstrip()[-1:] in _ENDS else 1 if n <= 5 else 2
         code = 0
-        for value, k in zip((_bin(function, 0.08, 0.2, 0.3), _bin(linked, 0.02, 0.3), shape, _bin(shop, 0.01, 0.1, 0.25), again, ends, odd), _SIZES):
+        for value, k in zip((4 if foreign else _bin(function, 0.08, 0.2, 0.3), _bin(linked, 0.02, 0.3), shape, 4 if foreign else _bin(shop, 0.01, 0.1, 0.25), again, ends, odd), _SIZES):
             code = code * k + value
         out.append(code)
     return out
@@ -157,14 +162,14 @@ def _foreign(line: str) -> bool:
 def _beliefs() -> list[np.ndarray]:
     """Starting belief about each feature in each state (rows: STATES)."""
     rows = [
-        # share of function words: < .08, < .2, < .3, more
-        [[2, 6, 14, 78], [60, 25, 10, 5], [50, 30, 12, 8], [80, 12, 5, 3], [70, 15, 10, 5]],
+        # share of function words: < .08, < .2, < .3, more, unknown
+        [[2, 6, 14, 78, 5], [60, 25, 10, 5, 5], [50, 30, 12, 8, 5], [80, 12, 5, 3, 5], [70, 15, 10, 5, 5]],
         # share of characters in links: none, < .3, more
         [[95, 4, 1], [2, 8, 90], [96, 3, 1], [93, 5, 2], [97, 2, 1]],
         # shape: plain, separators, commas, hash tags, product
         [[95, 1, 3, 0.2, 0.8], [92, 4, 2, 1, 1], [40, 9, 25, 14, 12], [40, 58, 1, 0.5, 0.5], [70, 25, 3, 1, 1]],
-        # share of shop words: none, < .1, < .25, more
-        [[78, 19, 2.5, 0.5], [40, 15, 20, 25], [18, 10, 22, 50], [60, 18, 14, 8], [97, 1, 1, 1]],
+        # share of shop words: none, < .1, < .25, more, unknown
+        [[78, 19, 2.5, 0.5, 5], [40, 15, 20, 25, 5], [18, 10, 22, 50, 5], [60, 18, 14, 8, 5], [97, 1, 1, 1, 5]],
         # words of which the page consists: few, many, one again and again in the line
         [[88, 11, 1], [40, 45, 15], [15, 45, 40], [15, 45, 40], [70, 20, 10]],
         # end: of a sentence, short without, long without

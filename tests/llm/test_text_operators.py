@@ -156,6 +156,13 @@ def test_pages():
     assert "".join(lines_of("x" * 5000)) == "x" * 5000
 
 
+def test_pages_in_other_scripts():
+    model = LineModel().compiled()
+    spam = ["дешёвый ноутбук, купить дешёвый ноутбук, дешёвый ноутбук онлайн, " * 8, "Главная > Вход > Корзина > Карта сайта > Страница > Далее > " * 8, "#ноутбук #купить #скидка #магазин " * 12, "便宜 笔记本, 购买 便宜 笔记本, 便宜 笔记本 商店, " * 10]
+    fine = ["Мы гуляли вдоль реки, потому что погода была хорошая, и потом долго говорили о старом доме. " * 8, "我们沿着河边散步，因为天气很好。后来我们谈了很久关于老房子的事情。" * 8, "हम नदी के किनारे टहल रहे थे क्योंकि मौसम अच्छा था और फिर हमने पुराने घर के बारे में बात की। " * 8]
+    assert [spam_share(model, t) > 0.5 for t in spam] == [True] * 4 and [spam_share(model, t) > 0.5 for t in fine] == [False] * 3
+
+
 def test_spam_pages_of_a_table(spark):
     pages = list(SPAM.items()) + list(FINE.items())
     rows = [(i, t, 0.0) for i, (_, t) in enumerate(pages)] + [(0, SPAM["keywords"], 0.0)]
