@@ -11,11 +11,13 @@ from memloom.functions.patterns import GROUPS
 from memloom.operators import dense, extract, sparse
 from memloom.operators.answer import context_budget, contexts
 from memloom.operators.metrics import ANSWER_METRICS, EVIDENCE_METRICS, scored_predictions, summary, summary_by_category, summary_overall
+from memloom.operators.extract import memory_text
 from memloom.operators.records import first_delivery
 from memloom.plans import analyze, grid
 from memloom.plans import pipeline as pl
 from memloom.sources import locomo
 from memloom.sources.tables import table
+from memloom.workspace import materialize
 
 # ---------------------------------------------------------------- inputs
 
@@ -41,9 +43,10 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     return p.join(q, "qid").withColumn("retrieved", retrieved)
 
 
-def word_vectors(spark: SparkSession, d: str) -> DataFrame:
+def word_vectors(spark: SparkSession, d: str, texts: DataFrame | None = None) -> DataFrame:
     """Stand-in for a trained table: vectors of four dimensions derived from the digest of each lower-case word; some words have none."""
-    texts = memories(spark, d).select("text").unionByName(questions(spark, d).select(F.col("question").alias("text")))
+    texts = memories(spark, d).select("text") if texts is None else texts
+    texts = texts.unionByName(questions(spark, d).select(F.col("question").alias("text")))
     words = texts.select(F.explode(T.all_words(F.lower("text"))).alias("word")).distinct()
     byte = lambda i: (F.conv(F.substring(F.md5("word"), 2 * i + 1, 2), 16, 10).cast("double") - 127.5) / 127.5
     return words.filter(F.substring(F.md5("word"), 32, 1) != "0").select("word", F.array(*[byte(i) for i in range(4)]).alias("vec"))
@@ -585,9 +588,33 @@ def recall_accuracy_scatter(spark: SparkSession, d: str) -> DataFrame:
     return analyze.scatter(_base_summary(spark, d)).withColumns({c: F.round(c, 6) for c in ("evidence_recall_at_k", "qa_accuracy")})
 
 
+def digest_encoder(model_name: str) -> dense.Encoder:
+    """Stand-in for a trained sentence encoder: mean of vectors of eight dimensions derived from the digests of model and word."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        import hashlib
+        import re
+
+        out = []
+        for text in texts:
+            words = re.findall(r"\w+", text.lower())
+            total = [0.0] * 8
+            for w in words:
+                total = [t + (b - 127.5) / 127.5 for t, b in zip(total, hashlib.md5(f"{model_name} {w}".encode()).digest())]
+            out.append([t / max(len(words), 1) for t in total])
+        return out
+
+    return encode
+
+
 @query()
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
-    """The whole pipeline on the tables: extract from turns, retrieve by TF-IDF and BM25, read, judge, summarise."""
-    t = turns(spark, d).filter("dia_id is not null")
-    entries = [e for e in grid.plan(("base",)) if e.retriever in ("no_retrieval", "tfidf", "bm25")]
-    return _rounded(pl.summarize(pl.run_grid(t, questions(spark, d), entries)))
+    """The whole pipeline on the tables: extract from all turns, retrieve by each retriever in both variants, read, judge, summarise.
+
+    Word vectors and sentence encoders are stand-ins derived from digests.
+    """
+    t = turns(spark, d)
+    said = t.select(memory_text(True).alias("text"))
+    encoders = {name: (model, digest_encoder(model)) for name, model in (("sentence_emb", "bge-stand-in"), ("sentence_emb_e5", "e5-stand-in"))}
+    resources = pl.Resources(materialize(word_vectors(spark, d, said), "vectors"), encoders)
+    return _rounded(pl.summarize(pl.run_grid(t, questions(spark, d), grid.plan(), resources=resources)))

@@ -161,3 +161,22 @@ def test_grid_and_pipeline(spark):
     rows = {(r.config, r.category): r for r in s.collect()}
     assert rows["append_all+tfidf", 4].qa_accuracy == 1.0 and rows["append_all+tfidf", 4].mrr == 1.0
     assert rows["append_all+tfidf", None].empty_retrieval_rate == 0.5 and rows["no_memory+no_retrieval", None].n == 2
+
+
+def test_run_summary_plans_the_whole_grid(spark, monkeypatch):
+    from memloom.queries import memory as Q
+
+    given = {}
+
+    def run_grid(turns, questions, entries, *, resources=None):
+        given.update(turns=turns, entries=entries, resources=resources)
+        return spark.createDataFrame([], "x int")
+
+    t = spark.createDataFrame([("c", 1, "a", None, "hello", None, None)], "conv_id string, pos int, speaker string, dia_id string, text string, timestamp_raw string, ts_date string")
+    monkeypatch.setattr(Q, "turns", lambda *_: t)
+    monkeypatch.setattr(Q, "questions", lambda *_: spark.createDataFrame([(1, "who?")], "qid bigint, question string"))
+    monkeypatch.setattr(Q.pl, "run_grid", run_grid)
+    monkeypatch.setattr(Q.pl, "summarize", lambda x: x)
+    monkeypatch.setattr(Q, "_rounded", lambda x: x)
+    Q.run_summary(spark, "")
+    assert len(given["entries"]) == 49 and given["turns"].count() == 1 and set(given["resources"].encoders) == {"sentence_emb", "sentence_emb_e5"}
