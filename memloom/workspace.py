@@ -1,8 +1,8 @@
 """Places for intermediate tables that every executor can reach.
 
-On a cluster the folder is the one named in ``spark.checkpoint.dir``; only where that setting is absent
-(tests, a laptop) a temporary folder is made.  Tables written here survive the loss of an executor and cut
-lineage, so a recomputed stage never repeats the expensive part before it.
+On a cluster the folder is the one named in ``spark.checkpoint.dir``; only a local session without that setting
+(tests, a laptop) gets a temporary folder, and a cluster without it an error.  Tables written here survive the loss
+of an executor and cut lineage, so a recomputed stage never repeats the expensive part before it.
 """
 
 from __future__ import annotations
@@ -21,10 +21,13 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder of the session: ``spark.checkpoint.dir``, or a temporary folder if it is unset."""
+    """The shared folder of the session: ``spark.checkpoint.dir``; where it is unset, a temporary folder of a local session."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    # The executors of a cluster don't see each other's temporary folders: rows written there would be lost.
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="memloom-"))
     return _LOCAL_ROOT[0]
@@ -56,7 +59,24 @@ def materialize(df: DataFrame, name: str, *, partition_by: list[str] | None = No
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables of ``materialize`` that nothing will read any more (others are left alone)."""
+    for stored in tables:
+        path = stored.__dict__.pop("_stored_at", None) if stored is not None else None
+        if path:
+            _forget(stored.sparkSession, path)
+            _MADE.remove((stored.sparkSession, path))
+
+
+def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package sent along to the Python workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
