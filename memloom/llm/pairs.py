@@ -24,17 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.workspace import materialize, spread
+from memloom.llm.cluster import components, shingles, similar_links
+from memloom.workspace import discard, in_arrow, materialize, spread
 
-#: Words of an opening, shingle length, and the least similarity of two openings of one template.  Openings of 49
-#: words or more stay together when one word inside them changes: (n - 9) of (n + 1) shingles are shared.
+#: Words of an opening.  Openings of 49 words or more stay together when one word inside them changes: (n - 9) of
+#: (n + 1) shingles of five words are shared.
 OPENING_WORDS = 64
-SHINGLE = 5
-SIMILARITY = 0.8
-#: MinHash: bands and rows in each; at 0.8 a pair shares a band with probability 0.9998.
-BANDS, ROWS = 16, 4
-#: First members of a bucket with which the others are compared in one round.
-FIRSTS = 64
 #: A template recurs across unrelated prompts from so many distinct question templates on.
 UNRELATED_PROMPTS = 3
 #: Share of a template's answers that must decline in words.
@@ -47,6 +42,8 @@ FREQUENT_WORDS = 1500
 OPENING_FREQUENT = 400
 #: An ending is unusual if its words were seen inside sentences at least so often, and ended one in less than this share.
 ENDING_SEEN, ENDING_SHARE = 5, 0.005
+#: A word after which a sentence never went on so is a cut one if so many longer words after the same one begin with it.
+CUT_WORD_SEEN = 10
 
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad\u2028\u2029]")
@@ -88,7 +85,6 @@ for _lang, _words in _FUNCTION.items():
     for _w in _words:
         _LANGUAGES.setdefault(_w, set()).add(_lang)
 
-# Words with which no complete statement ends.
 # Words with which no statement ends.
 _NEVER_LAST = frozenset("the a an and or but because although if than as very le un une et ou mais très der ein eine einen einem und oder aber weil dass y o pero porque muy el los las unos".split())
 # Words with which a statement seldom ends; how it goes on elsewhere decides.
@@ -145,6 +141,9 @@ def _script(text: str) -> str:
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+# Titles and names are loan words in any language.
+_QUOTED = re.compile("\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|»[^«]*«|‹[^›]*›|「[^」]*」|『[^』]*』")
+_NAMES = re.compile(r"(?<=[^\W\d_] )[^\W\d_a-z][\w'’-]*(?: [^\W\d_a-z][\w'’-]*)+")
 _MARKS = (("de", frozenset("äöüß")), ("fr", frozenset("éèêàçùœ")), ("es", frozenset("ñ¿¡óáí")))
 
 
@@ -156,13 +155,26 @@ def _language_scores(text: str) -> Counter:
         if langs := _LANGUAGES.get(w):
             for lang in langs:
                 scores[lang] += 1 / len(langs)
-    if not low.isascii():
+    if scores and not low.isascii():
         for lang, marks in _MARKS:
             if n := len(marks.intersection(low)):
                 scores[lang] += 0.4 * n
     return scores
 
 
+def _own_words(answer: str) -> str:
+    """An answer without what it quotes; one that is all quotation stays whole."""
+    if (left := _QUOTED.sub(" ", answer)) != answer and _LETTERS.search(left):
+        return left
+    return answer
+
+
+def _is_name(text: str) -> bool:
+    """Words that all begin with a capital letter, in a script that has them."""
+    words = _LETTERS.findall(text)
+    return bool(words) and len(words) <= 4 and all(w[0] != w[0].lower() for w in words)
+
+
 @functools.lru_cache(maxsize=5_000)
 def _asked(question: str | None) -> tuple[str, list[str], str, str | None, str]:
     """Tidied question, its words, script, language and template; pairs of one question share them."""
@@ -174,12 +186,12 @@ def _asked(question: str | None) -> tuple[str, list[str], str, str | None, str]:
 def is_other_language(question: str | None, answer: str) -> bool:
     """Whole words of the answer belong to a language, or a script, that the question is not in."""
     q, _, script, own, _ = _asked(question)
-    a = plain(answer)
+    a = _own_words(plain(answer))
     words = _LETTERS.findall(a)
     if not q or sum(map(len, words)) < 4:
         return False
     if _script(a) != script:
-        return True
+        return not _is_name(a)
     if own is None or len(words) < 3:
         return False
     said = _language_scores(a)
@@ -224,7 +236,8 @@ def cut_off(answer: str) -> bool | None:
         return True
     if t[-1] in ",;:-–—(&/=+[{<“„«":
         return True
-    if re.search(r"(?:^|\n)\s*\d+[.)]$", t):
+    # A list marker without its item, after an item; a number by itself is an answer.
+    if re.search(r"\n\s*\d+[.)]$", t):
         return True
     if t.count("“") > t.count("”") and "”" not in t and '"' not in t or t.count("(") > t.count(")") or t.count("«") > t.count("»"):
         return True
@@ -248,40 +261,39 @@ def mask(word: str, frequent: frozenset, first: bool) -> str:
 _SENTENCE = re.compile(r"[^.!?。！？…\n]+[.!?。！？…]*")
 
 
-def _ngrams(answers: list[str], frequent: frozenset) -> dict[tuple[str, str], list[int]]:
-    """(kind, key) -> [inside, at the end] over the sentences that end with a full stop; also which words exist."""
+def _ngrams(answers: list[tuple[str, int]], frequent: frozenset) -> dict[tuple[str, str], list[int]]:
+    """(kind, key) -> [inside, at the end] over the sentences that end with a full stop.
+
+    Kinds: masked runs of ``2`` and ``3`` words, each word ``w``, and each word with the one before it ``b``.
+    """
     seen: dict[tuple[str, str], list[int]] = {}
-    for answer in answers:
+    for answer, times in answers:
         for sentence in _SENTENCE.findall(plain(answer)):
             words = _WORD.findall(sentence)
             ended = sentence.rstrip()[-1:] in _TERMINAL and not sentence.rstrip().endswith("..")
             masked = [mask(w, frequent, i == 0) for i, w in enumerate(words)]
-            for i in range(len(words)):
+            low = [w.lower() for w in words]
+            for i in range(len(words) if ended else len(words) - 1):
                 final = i == len(words) - 1
-                if final and not ended:
-                    continue
-                for n in (2, 3):
-                    if i + 1 >= n:
-                        seen.setdefault((str(n), " ".join(masked[i + 1 - n : i + 1])), [0, 0])[final] += 1
-                # Whole words, and the beginnings of rarer ones after the same word.
-                w = words[i].lower()
-                seen.setdefault(("w", w), [0, 0])[final] += 1
-                if i and len(w) > 3 and w not in frequent:
-                    before = words[i - 1].lower()
-                    for k in range(2, min(len(w), 14)):
-                        seen.setdefault(("p", f"{before} {w[:k]}"), [0, 0])[final] += 1
+                seen.setdefault(("w", low[i]), [0, 0])[final] += times
+                if i:
+                    seen.setdefault(("2", f"{masked[i - 1]} {masked[i]}"), [0, 0])[final] += times
+                    seen.setdefault(("b", f"{low[i - 1]} {low[i]}"), [0, 0])[final] += times
+                if i > 1:
+                    seen.setdefault(("3", " ".join(masked[i - 2 : i + 1])), [0, 0])[final] += times
     return seen
 
 
 #: Answers whose n-grams a task holds at once.
-NGRAM_ROWS = 1000
+NGRAM_ROWS = 5000
 
 
 def _count_ngrams(frequent_of):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, NGRAM_ROWS):
-                seen = _ngrams([a for a in batch.column(0).slice(start, NGRAM_ROWS).to_pylist() if a], frequent_of.value)
+                part = batch.slice(start, NGRAM_ROWS)
+                seen = _ngrams(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist())), frequent_of.value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in seen], pa.string()), pa.array([g for _, g in seen], pa.string()), *[pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1)]],
                     ["kind", "gram", "inside", "final"],
@@ -296,15 +308,15 @@ def _beginnings(words: frozenset) -> frozenset:
     return frozenset(w[:k] for w in words for k in range(2, len(w)))
 
 
-_CHECKED = "pair_table string, pair_id bigint, defect string, cut int, declined boolean, opening string, prompt string, gram3 string, gram2 string, last string, begun string, stub boolean"
+_CHECKED = "row bigint, pair_table string, pair_id bigint, defect string, cut int, declined boolean, opening string, lang string, prompt string, gram3 string, gram2 string, last string, begun string, stub boolean"
 
 
 def _check(frequent_of, usual_of):
     def one(question: str | None, answer: str | None) -> tuple:
         if is_empty(answer):
-            return ("empty", 0, False, "", "", None, None, None, None, False)
+            return ("empty", 0, False, "", "", "", None, None, None, None, False)
         if is_copy(question, answer):
-            return ("copied_question", 0, False, "", "", None, None, None, None, False)
+            return ("copied_question", 0, False, "", "", "", None, None, None, None, False)
         asked, text = _asked(question)[1], plain(answer)
         # An answer may repeat its question first; what follows is the answer.
         said = text
@@ -316,89 +328,64 @@ def _check(frequent_of, usual_of):
         grams, stub = [None] * 4, False
         code = {True: 1, False: 0, None: 2}[ends]
         if ends is None:
-            last = re.split(r"[.!?。！？\n]\s*", text)[-1]
+            # What stands after the last full stop or colon, by itself a phrase or a sentence.
+            last = re.split(r"[.!?。！？\n]\s*|:\s+", text)[-1]
             words = _WORD.findall(last)
             masked = [mask(w, frequent_of.value, i == 0) for i, w in enumerate(words)]
             if len(words) >= 2 and words[-1].lower() in _SELDOM_LAST:
                 code = 3
             if len(words) >= 3 or code == 3:
                 grams[:2] = " ".join(masked[-3:]), " ".join(masked[-2:])
-                if len(words[-1]) > 1 and words[-1].isalpha():
-                    grams[2:] = words[-1].lower(), f"{words[-2].lower()} {words[-1].lower()}"
-                    stub = grams[2] not in frequent_of.value and grams[2] in _beginnings(frequent_of.value)
+            # Shorter ones can only end in a cut word; a capital letter of a lone word may begin a name.
+            if words and len(words[-1]) > 1 and words[-1].isalpha() and (len(words) > 1 or words[-1].islower()):
+                grams[2] = words[-1].lower()
+                grams[3] = f"{words[-2].lower()} {grams[2]}" if len(words) > 1 else None
+                stub = grams[2] not in frequent_of.value and grams[2] in _beginnings(frequent_of.value)
         other = "other_language" if is_other_language(question, said) else None
-        return (other, code, declined, opening(question, said, usual_of.value), _asked(question)[4], *grams, stub)
+        scores = _language_scores(said)
+        lang = scores.most_common(1)[0][0] if scores else ""
+        return (other, code, declined, opening(question, said, usual_of.value), lang, _asked(question)[4], *grams, stub)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(q.as_py(), a.as_py()) for q, a in zip(batch.column(2), batch.column(3))]
-            kinds = (pa.string(), pa.int32(), pa.bool_(), *[pa.string()] * 6, pa.bool_())
+            rows = [one(q, a) for q, a in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            kinds = (pa.string(), pa.int32(), pa.bool_(), *[pa.string()] * 7, pa.bool_())
             names = [part.split()[0] for part in _CHECKED.split(", ")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names)
 
     return check
 
 
-def _shingles(text: Column) -> Column:
-    words = F.split(text, " ")
-    n = F.size(words)
-    slid = F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
-    return F.array_distinct(slid)
-
-
 def cluster_openings(openings: DataFrame) -> DataFrame:
-    """``opening, template``: distinct openings with the representative of their MinHash cluster.
+    """``opening, template``: distinct openings with the number of their cluster, that of its least member.
 
-    In each bucket of a band the members are compared with its first ``FIRSTS`` members only; those like none of
-    them are compared among themselves in the next round, until each has been compared or is a first member.  So
-    no bucket's pairs are ever emitted, and every opening is linked to some member it is verified to be like.
+    An opening is known by its 64-bit hash; one without a near-equal other is a template of its own.
     """
-    signed = openings.select("opening", _shingles(F.col("opening")).alias("shingles"))
-    hashes = [F.array_min(F.transform("shingles", lambda s, i=i: F.xxhash64(s, F.lit(i)))) for i in range(BANDS * ROWS)]
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*hashes[b * ROWS : (b + 1) * ROWS]).alias("bucket")) for b in range(BANDS)])
-    members = signed.select("opening", "shingles", F.inline(bands))
-    links = None
-    while True:
-        order = Window.partitionBy("band", "bucket").orderBy("opening")
-        members = materialize(members.withColumn("nth", F.row_number().over(order)), "openings")
-        firsts = members.filter(F.col("nth") <= FIRSTS).groupBy("band", "bucket").agg(F.collect_list(F.struct("opening", "shingles")).alias("firsts")).filter(F.size("firsts") > 1)
-
-        def alike(first: Column) -> Column:
-            both = F.size(F.array_intersect("shingles", first["shingles"]))
-            return (first["opening"] != F.col("opening")) & (both >= SIMILARITY * (F.size("shingles") + F.size(first["shingles"]) - both))
-
-        joined = members.join(firsts, ["band", "bucket"]).select("band", "bucket", "nth", "opening", "shingles", F.filter("firsts", alike).alias("like"))
-        joined = materialize(joined, "matched")
-        found = joined.select("opening", F.explode("like.opening").alias("first")).distinct()
-        links = found if links is None else links.unionByName(found)
-        members = joined.filter((F.col("nth") > FIRSTS) & (F.size("like") == 0)).select("opening", "shingles", "band", "bucket")
-        if members.isEmpty():
-            break
-    edges = materialize(links.union(links.select(F.col("first"), F.col("opening"))).distinct(), "links")
-    labels = openings.select("opening", F.col("opening").alias("template"))
-    while True:
-        near = edges.join(labels, "opening").groupBy(F.col("first").alias("opening")).agg(F.min("template").alias("near"))
-        moved = labels.join(near, "opening", "left").select("opening", F.least("template", "near").alias("template"), (F.col("near") < F.col("template")).alias("moved"))
-        moved = materialize(moved, "templates")
-        labels = moved.select("opening", "template")
-        if moved.filter("moved").isEmpty():
-            return labels
+    nodes = materialize(openings.select("opening", F.xxhash64("opening").alias("node"), shingles(F.col("opening")).alias("shingles")), "openings")
+    links = similar_links(nodes)
+    roots = components(links)
+    labels = nodes.join(roots, "node", "left").select("opening", F.coalesce("root", "node").alias("template"))
+    labels = materialize(labels, "templates")
+    discard(nodes, links, roots)
+    return labels
 
 
 def refusing_by_words(labels: DataFrame, templates: DataFrame, asked_with: DataFrame) -> DataFrame:
     """``template`` of the recurring clusters that don't decline in the phrases of ``declines``, but are worded like those that do.
 
-    ``labels``: ``opening, template``; ``templates``: ``template, declining, recurring``; ``asked_with``: ``opening, prompt, n``.
-    The words of each template are weighed by all others (smoothed log odds of a declining one), and its answers
-    must be spread over the prompts as evenly as over ``UNRELATED_PROMPTS`` equal ones.
+    ``labels``: ``opening, template``; ``templates``: ``template, lang, declining, recurring``; ``asked_with``: ``opening,
+    prompt, n``.  The words of each template are weighed by all others of its language (smoothed log odds of a declining
+    one; a word that none of those has speaks for nothing), and its answers must be spread over the prompts as evenly as
+    over ``UNRELATED_PROMPTS`` equal ones.
     """
-    words = labels.join(templates, "template").select("template", "declining", "recurring", F.explode(F.split("opening", " ")).alias("word")).filter("word not in ('_', '#', '')").distinct()
+    words = labels.join(templates, "template").select("template", "lang", "declining", "recurring", F.explode(F.split("opening", " ")).alias("word")).filter("word not in ('_', '#', '')").distinct()
     words = materialize(words, "words")
-    size = templates.agg(F.coalesce(F.sum(F.col("declining").cast("long")), F.lit(0)).alias("yes"), F.count("*").alias("all")).first()
-    known = words.groupBy("word").agg(F.sum(F.col("declining").cast("long")).alias("yes"), F.count("*").alias("all"))
-    # A template judged here is one that doesn't decline; it is left out of the counts.
-    own = words.filter("recurring and not declining").join(known.filter("all > 1"), "word")
-    odds = F.log((F.col("yes") + 0.5) / (size["yes"] + 1)) - F.log((F.col("all") - F.col("yes") - 1 + 0.5) / (size["all"] - size["yes"] + 1))
+    of_lang = templates.groupBy("lang").agg(F.sum(F.col("declining").cast("long")).alias("lang_yes"), F.count("*").alias("lang_all"))
+    known = words.groupBy("lang", "word").agg(F.sum(F.col("declining").cast("long")).alias("yes"), F.count("*").alias("all"))
+    # A template judged here is one that doesn't decline; it is left out of the counts.  One row a language: broadcast.
+    own = words.filter("recurring and not declining").join(known.filter("all > 1"), ["lang", "word"]).join(F.broadcast(of_lang), "lang")
+    odds = F.log((F.col("yes") + 0.5) / (F.col("lang_yes") + 1)) - F.log((F.col("all") - F.col("yes") - 1 + 0.5) / (F.col("lang_all") - F.col("lang_yes") + 1))
+    odds = F.when(F.col("yes") > 0, odds).otherwise(F.least(odds, F.lit(0.0)))
     worded = own.groupBy("template").agg(F.sum(odds).alias("odds"), F.count("*").alias("n_words")).filter((F.col("odds") >= REFUSING_WORDS) & (F.col("odds") >= REFUSING_WORD * F.col("n_words")))
     each = asked_with.join(labels.join(worded.select("template"), "template"), "opening").groupBy("template", "prompt").agg(F.sum("n").alias("n"))
     # The entropy of equal shares of UNRELATED_PROMPTS prompts; a little less, as sums are not exact.
@@ -406,30 +393,30 @@ def refusing_by_words(labels: DataFrame, templates: DataFrame, asked_with: DataF
     return each.groupBy("template").agg(entropy.alias("entropy")).filter(F.col("entropy") >= math.log(UNRELATED_PROMPTS) - 1e-9).select("template")
 
 
-def broken_pairs(pairs: DataFrame) -> DataFrame:
-    """``pair_table, pair_id, defect`` of every broken pair of ``pairs(pair_table, pair_id, question, answer)``.
+def _endings(checked: DataFrame, answers: DataFrame, frequent) -> DataFrame:
+    """``row, early, ends_so`` of the answers without an end mark: do their last words end sentences anywhere?
 
-    One defect for each pair, the first that holds of: empty, copied_question, refusal, other_language, truncated.
-    A pair without a question can't be a copy or of another language; an empty table gives no rows.
+    ``answers(answer, times)`` are the distinct answers, whose words are counted whole; beginnings of words are taken
+    from the counted words, not from the texts, and only those are kept that some answer ends in.
     """
-    spark = pairs.sparkSession
-    pairs = pairs.select("pair_table", F.col("pair_id").cast("bigint").alias("pair_id"), "question", "answer")
-    pairs = materialize(spread(pairs, "pair_table", "pair_id"), "pairs")
-    words = pairs.filter("answer is not null").select(F.explode(F.split(F.lower("answer"), r"[^\p{L}\p{N}'’-]+")).alias("w")).filter("w <> ''")
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS).collect()
-    frequent = spark.sparkContext.broadcast(frozenset(r.w for r in top))
-    usual_words = spark.sparkContext.broadcast(frozenset(r.w for r in top[:OPENING_FREQUENT]))
-    grams = pairs.select("answer").mapInArrow(_count_ngrams(frequent), "kind string, gram string, inside bigint, final bigint")
-    grams = grams.groupBy("kind", "gram").agg(F.sum("inside").alias("inside"), F.sum("final").alias("final"))
-    checked = materialize(pairs.mapInArrow(_check(frequent, usual_words), _CHECKED), "checked")
-
-    # Answers without an end mark: do their last words end sentences anywhere?
-    unended = checked.filter("cut >= 2 and gram2 is not null")
-    asked = unended.select("pair_table", "pair_id", "stub", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("gram")) for k, c in (("3", "gram3"), ("2", "gram2"), ("w", "last"), ("p", "begun"))])))
-    wanted = asked.filter("gram is not null").select("kind", "gram").distinct()
-    known = asked.join(grams.join(wanted, ["kind", "gram"], "left_semi"), ["kind", "gram"], "left")
+    grams = in_arrow(spread(answers), _count_ngrams(frequent), "kind string, gram string, inside bigint, final bigint")
+    grams = materialize(grams.groupBy("kind", "gram").agg(F.sum("inside").alias("inside"), F.sum("final").alias("final")), "grams")
+    ends = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("gram")) for k, c in (("3", "gram3"), ("2", "gram2"), ("w", "last"), ("b", "begun"), ("p", "begun"))])
+    asked = checked.filter("cut >= 2").select("row", "stub", F.inline(ends)).filter("gram is not null")
+    wanted = materialize(asked.select("kind", "gram").distinct(), "wanted")
+    before = F.length(F.substring_index("gram", " ", 1))
+    longer = F.transform(F.sequence(before + 3, F.length("gram") - 1), lambda n: F.substring(F.col("gram"), F.lit(1), n))
+    begun = grams.filter((F.col("kind") == "b") & (F.length("gram") > before + 3)).select(F.lit("p").alias("kind"), F.explode(longer).alias("gram"), "inside", "final")
+    begun = begun.join(wanted, ["kind", "gram"], "left_semi").groupBy("kind", "gram").agg(F.sum("inside").alias("inside"), F.sum("final").alias("final"))
+    counted = grams.join(wanted, ["kind", "gram"], "left_semi").unionByName(begun)
+    known = asked.join(counted, ["kind", "gram"], "left")
     seen = lambda k, c: F.coalesce(F.max(F.when(F.col("kind") == k, F.col(c))), F.lit(0))
-    endings = known.groupBy("pair_table", "pair_id").agg(F.max("stub").alias("stub"), *[seen(k, c).alias(f"{c}{k}") for k in "32wp" for c in ("inside", "final")])
+    endings = known.groupBy("row").agg(
+        F.max("stub").alias("stub"),
+        F.max(F.when(F.col("kind") == "p", 1)).isNotNull().alias("after"),
+        F.max(F.when(F.col("kind") == "w", 1)).isNotNull().alias("word"),
+        *[seen(k, c).alias(f"{c}{k}") for k in "32wbp" for c in ("inside", "final")],
+    )
 
     def unusual(k: str) -> Column:
         inside, final = F.col(f"inside{k}"), F.col(f"final{k}")
@@ -439,30 +426,51 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
         inside, final = F.col(f"inside{k}"), F.col(f"final{k}")
         return (final >= 2) & (final >= 0.02 * (inside + final))
 
-    known3 = (F.col("inside3") + F.col("final3")) >= ENDING_SEEN
-    broken_word = (F.col("insidew") + F.col("finalw") == 0) & ((F.col("insidep") + F.col("finalp") >= 2) | F.col("stub"))
-    early = endings.select(
-        "pair_table",
-        "pair_id",
-        (F.when(known3, unusual("3")).otherwise(unusual("2")) | broken_word).alias("early"),
+    times = lambda k: F.col(f"inside{k}") + F.col(f"final{k}")
+    known3 = times("3") >= ENDING_SEEN
+    unknown_word = F.col("word") & (times("w") == 0) & ((times("p") >= 2) | F.col("stub"))
+    cut_word = F.col("after") & (times("b") == 0) & (times("p") >= CUT_WORD_SEEN)
+    return endings.select(
+        "row",
+        (F.when(known3, unusual("3")).otherwise(unusual("2")) | unknown_word | cut_word).alias("early"),
         F.when(known3, usual("3")).otherwise(usual("2")).alias("ends_so"),
     )
 
-    asked_with = checked.filter("opening <> ''").groupBy("opening", "prompt").agg(F.count("*").alias("n"), F.sum(F.col("declined").cast("int")).alias("n_declined"))
+
+def broken_pairs(pairs: DataFrame) -> DataFrame:
+    """``pair_table, pair_id, defect`` of every broken pair of ``pairs(pair_table, pair_id, question, answer)``.
+
+    One defect for each pair, the first that holds of: empty, copied_question, refusal, other_language, truncated.
+    A pair without a question can't be a copy or of another language; rows with a null or repeated id are judged each
+    by itself; an empty table gives no rows.
+    """
+    spark = pairs.sparkSession
+    pairs = pairs.select("pair_table", F.col("pair_id").cast("bigint").alias("pair_id"), "question", "answer")
+    # A number of its own for each row: ids may be null or repeated.  It is fixed as the rows are written.
+    pairs = materialize(spread(pairs).select(F.monotonically_increasing_id().alias("row"), "*"), "pairs")
+    answers = pairs.filter("answer is not null").groupBy("answer").agg(F.count("*").alias("times"))
+    words = pairs.filter("answer is not null").select(F.explode(F.split(F.lower("answer"), r"[^\p{L}\p{N}'’-]+")).alias("w")).filter("w <> ''")
+    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS).collect()
+    frequent = spark.sparkContext.broadcast(frozenset(r.w for r in top))
+    usual_words = spark.sparkContext.broadcast(frozenset(r.w for r in top[:OPENING_FREQUENT]))
+    checked = materialize(in_arrow(pairs, _check(frequent, usual_words), _CHECKED), "checked")
+    early = _endings(checked, answers, frequent)
+
+    asked_with = checked.filter("opening <> ''").groupBy("opening", "prompt").agg(F.max("lang").alias("lang"), F.count("*").alias("n"), F.sum(F.col("declined").cast("int")).alias("n_declined"))
     asked_with = materialize(asked_with, "distinct")
-    openings = asked_with.groupBy("opening").agg(F.sum("n").alias("n"), F.sum("n_declined").alias("n_declined"))
-    labels = cluster_openings(openings)
+    openings = asked_with.groupBy("opening").agg(F.max("lang").alias("lang"), F.sum("n").alias("n"), F.sum("n_declined").alias("n_declined"))
+    labels = cluster_openings(openings.select("opening"))
     # A template needs to be seen with a few prompts only, so no more than those of each opening are counted.
     some = asked_with.withColumn("nth", F.row_number().over(Window.partitionBy("opening").orderBy("prompt"))).filter(F.col("nth") <= UNRELATED_PROMPTS)
     prompts = some.join(labels, "opening").select("template", "prompt").distinct().groupBy("template").agg(F.count("*").alias("n_prompts"))
-    templates = openings.join(labels, "opening").groupBy("template").agg(F.sum("n").alias("n"), F.sum("n_declined").alias("n_declined")).join(prompts, "template")
+    templates = openings.join(labels, "opening").groupBy("template").agg(F.max("lang").alias("lang"), F.sum("n").alias("n"), F.sum("n_declined").alias("n_declined")).join(prompts, "template")
     declining = F.col("n_declined") >= DECLINING_SHARE * F.col("n")
-    templates = materialize(templates.select("template", declining.alias("declining"), (F.col("n_prompts") >= UNRELATED_PROMPTS).alias("recurring")), "votes")
+    templates = materialize(templates.select("template", "lang", declining.alias("declining"), (F.col("n_prompts") >= UNRELATED_PROMPTS).alias("recurring")), "votes")
     worded = refusing_by_words(labels, templates, asked_with).withColumn("worded", F.lit(True))
     verdict = F.when(F.col("recurring"), F.col("declining"))
     verdicts = labels.join(templates, "template").join(worded, "template", "left").select("opening", verdict.alias("refuses"), F.coalesce("worded", F.lit(False)).alias("worded"))
 
-    judged = checked.join(verdicts, "opening", "left").join(early, ["pair_table", "pair_id"], "left")
+    judged = checked.join(verdicts, "opening", "left").join(early, "row", "left")
     # An answer in another language is none in the words of refusals of its question's language.
     refuses = F.coalesce("refuses", "declined") | F.coalesce(F.col("worded") & F.col("defect").isNull(), F.lit(False))
     defect = (
@@ -475,10 +483,16 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def qa_and_prediction_pairs(qa_items: DataFrame, predictions: DataFrame) -> DataFrame:
-    """All pairs of the two tables; redelivered rows are one pair, a prediction finds its question by ``qid``."""
-    first = lambda df, key, cols, at: df.groupBy(key).agg(F.min(F.struct(F.coalesce(F.col(at).cast("string"), F.lit("9")), *cols)).alias("r"))
-    qa = first(qa_items, "qid", ["question", "gold_answer"], "ingested_at").select("qid", "r.question", "r.gold_answer")
-    said = first(predictions, "pred_id", ["qid", "answer_text"], "predicted_at").select("pred_id", "r.qid", "r.answer_text")
+    """All pairs of the two tables; a prediction finds its question by ``qid``.
+
+    Redelivered rows are one pair, the earliest; each row with a null id is a pair of its own.
+    """
+    def first(df: DataFrame, key: str, cols: list[str], at: str) -> DataFrame:
+        known = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(F.coalesce(F.col(at).cast("string"), F.lit("9")), *cols)).alias("r")).select(key, *[f"r.{c}" for c in cols])
+        return known.unionByName(df.filter(F.col(key).isNull()).select(key, *cols))
+
+    qa = first(qa_items, "qid", ["question", "gold_answer"], "ingested_at")
+    said = first(predictions, "pred_id", ["qid", "answer_text"], "predicted_at")
     of_qa = qa.select(F.lit("qa_items").alias("pair_table"), F.col("qid").alias("pair_id"), "question", F.col("gold_answer").alias("answer"))
     of_predictions = said.join(qa.select("qid", "question"), "qid", "left").select(F.lit("predictions").alias("pair_table"), F.col("pred_id").alias("pair_id"), "question", F.col("answer_text").alias("answer"))
     return of_qa.unionByName(of_predictions)

@@ -108,8 +108,84 @@ def test_pairs_together(spark):
     assert broken_pairs(spark.createDataFrame([], "pair_table string, pair_id bigint, question string, answer string")).count() == 0
 
 
-def test_openings_cluster_by_verified_similarity(spark, monkeypatch):
-    monkeypatch.setattr(P, "FIRSTS", 2)
+SAID_THROUGH_PAIRS = [
+    ("When did Ann move?", 'The song "Über den Dächern".', None),
+    ("Where did Ann eat?", 'A café called "Les Brumes de la Mer".', None),
+    ("When did Ann move?", "2024.", None),
+    ("How many weeks did it take?", "38.", None),
+    ("How many weeks did it take?", "According to the context: Zero", None),
+    ("When did Ann move?", "According to the context: October 2019", None),
+    ("Who was it?", "According to the context: Bo", None),
+    ("Who was it?", "Ольга Петрова", None),
+    ("Where did Ann buy the tent?", "Déjà vu in the old town.", None),
+    ("Where did Ann buy the tent?", "At a market in the old town near the ri", "truncated"),
+    ("Where did Ann buy the tent?", "a mark", "truncated"),
+    ("What did Ann do?", "1. chess\n2. pottery\n3.", "truncated"),
+    ("When did Ann move?", "C'est la vie, elle est très heureuse !", "other_language"),
+    ("When did Ann move?", "«Wir haben das Geschenk auf dem Markt gekauft und nach Hause gebracht.»", "other_language"),
+    (None, "2024.", None),
+]
+
+
+def test_defects_through_broken_pairs(spark):
+    sound = [("t", 1000 + i, f"Where did person{i} buy the tent?", "At a market in the old town near the river. According to the context of the talk it was fine.") for i in range(60)]
+    rows = [("t", i, q, a) for i, (q, a, _) in enumerate(SAID_THROUGH_PAIRS)]
+    # Rows without an id, or with one that is repeated, are judged each by itself.
+    apart = [("t", None, "Where?", "null"), ("t", None, "Where?", "At a market in the old town near the river."), ("t", 900, "Where?", ""), ("t", 900, "Where?", "At a market in the old town near the river.")]
+    df = spark.createDataFrame([(*r, "x") for r in rows + sound + apart], "pair_table string, pair_id bigint, question string, answer string, row string")
+    got = [(r.pair_id, r.defect) for r in broken_pairs(df).collect()]
+    assert sorted(got, key=str) == sorted([(i, d) for i, (_, _, d) in enumerate(SAID_THROUGH_PAIRS) if d] + [(None, "empty"), (900, "empty")], key=str)
+
+
+def test_null_ids_are_pairs_of_their_own(spark):
+    from memloom.llm.pairs import qa_and_prediction_pairs
+
+    qa = spark.createDataFrame([(1, "Q1", "a", "1"), (1, "Q1", "a", "2"), (None, "Q2", "b", "1"), (None, "Q3", "c", None)], "qid bigint, question string, gold_answer string, ingested_at string")
+    said = spark.createDataFrame([(5, 1, "x", "1"), (5, 1, "x", "3"), (None, 1, "y", "1"), (None, None, "z", "1")], "pred_id bigint, qid bigint, answer_text string, predicted_at string")
+    got = sorted(((r.pair_table, r.question, r.answer) for r in qa_and_prediction_pairs(qa, said).collect()), key=str)
+    assert got == sorted([("qa_items", "Q1", "a"), ("qa_items", "Q2", "b"), ("qa_items", "Q3", "c"), ("predictions", "Q1", "x"), ("predictions", "Q1", "y"), ("predictions", None, "z")], key=str)
+
+
+@pytest.mark.parametrize("chunk", [1000, 3])
+def test_links_connect_what_is_alike(spark, monkeypatch, chunk):
+    """Against brute force, also where a bucket is cut into chunks."""
+    from pyspark.sql import functions as F
+
+    from memloom.llm import cluster as C
+
+    monkeypatch.setattr(C, "CHUNK", chunk)
+    said = [" ".join(f"w{j if j != i else 100 + v}" for j in range(60)) for i in (0, 20, 59) for v in range(6)] + [" ".join(f"x{i}{j}" for j in range(20)) for i in range(10)] + ["a b", "a b c"]
+    nodes = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "node bigint, text string").withColumn("shingles", C.shingles(F.col("text")))
+    sets = {r.node: set(r.shingles) for r in nodes.collect()}
+    root = {n: n for n in sets}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= C.SIMILARITY * len(sets[a] | sets[b]):
+                root[find(b)] = find(a)
+    # The links of a pass over all members as one bucket are those of brute force.
+    alike = {frozenset(m for m in sets if find(m) == find(n)) for n in sets}
+    joined = {n: n for n in sets}
+    for r in C.components(C.similar_links(nodes)).collect():
+        joined[r.node] = r.root
+    assert {frozenset(m for m in sets if joined[m] == joined[n]) for n in sets} == alike
+
+
+def test_components_of_a_long_chain(spark):
+    from memloom.llm.cluster import components
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a bigint, b bigint")
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {**{i: 0 for i in range(1, 201)}, 501: 500}
+    assert components(links.limit(0)).count() == 0
+
+
+def test_openings_cluster_by_verified_similarity(spark):
     base = "i do not know the answer to this question at all my"
     rows = [(f"{base} friend{i}",) for i in range(5)] + [("something else entirely is said here today by them",)]
     got = {r.opening: r.template for r in cluster_openings(spark.createDataFrame(rows, "opening string")).collect()}
