@@ -4,13 +4,16 @@ Each task counts its records into a burst trie: terms are routed by their first
 (suffix -> counters), and a container that grows beyond ``BURST`` suffixes bursts into one container for each next
 character.  The containers are written once to the shared folder.  From their sizes follow the heavy prefixes,
 those above a fixed share of all entries; every term is routed by its longest heavy prefix and one character more,
-so that matching subtrees of all workers meet in groups of bounded size, where they are merged.  A term of which a
-third of all rows consist has one entry in each task, never one per row.
+so that matching subtrees of all workers meet in groups, where they are merged.  A route that still holds more than
+``ROUTE_ENTRIES`` entries is split by the hash of its terms, so a group is bounded whatever the terms and the number
+of tasks are: only the entries of one term, one of each trie, have to meet.  A term of which a third of all rows
+consist has one entry in each trie, never one per row.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,16 +22,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.workspace import materialize
+from memloom.workspace import in_arrow, materialize
 
 #: Suffixes in a container before it bursts.
 BURST = 2048
 #: Terms in a task's trie before it is written out and begun anew.
 TRIE_TERMS = 400_000
-#: Entries that a group of matching subtrees is to hold, and the most groups by which routes are made finer.
+#: Entries of matching subtrees that a group holds; a route with more is split by hash.
 ROUTE_ENTRIES = 200_000
+#: Bounds of the table of heavy prefixes, which the driver sends to the tasks: how many of each length it may hold and
+#: how long they are.  They decide how fine routes are before the split by hash, not how large a group is.
 MAX_ROUTES = 65_536
-#: Longest prefix that is counted for routing.
 MAX_PREFIX = 24
 
 #: Longest runs of letters (L), numbers (N) and ``_``: Python's ``\w`` is exactly these.
@@ -151,9 +155,28 @@ def _router(heavy: dict[str, set[str]]):
     return split
 
 
+def _split_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the subtrees of heavy routes (more than one split) by the hash of their suffixes."""
+    for batch in batches:
+        if max(batch.column(5).to_pylist(), default=1) <= 1:
+            part = pa.array([0] * batch.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], part], ["src_field", "route", "suffixes", "totals", "records", "part"])
+            continue
+        columns: list[list] = [[] for _ in range(6)]
+        for field, route, *values, splits in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            parts: dict[int, list[int]] = {}
+            for i, suffix in enumerate(values[0]):
+                parts.setdefault(zlib.crc32(suffix.encode("utf-8", "surrogatepass")) % splits, []).append(i)
+            for part, chosen in parts.items():
+                for column, value in zip(columns, (field, route, *([v[i] for i in chosen] for v in values), part)):
+                    column.append(value)
+        kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["src_field", "route", "suffixes", "totals", "records", "part"])
+
+
 def _merge(key, table):
     """Merge the matching subtrees of one route: equal suffixes add up their counters."""
-    field, prefix = (k.as_py() for k in key)
+    field, prefix = (k.as_py() for k in key[:2])
     flat = pa.table({name: pc.list_flatten(table.column(name)) for name in ("suffixes", "totals", "records")})
     merged = flat.group_by("suffixes").aggregate([("totals", "sum"), ("records", "sum")])
     term = pc.binary_join_element_wise(pa.scalar(prefix), merged.column("suffixes").cast(pa.string()), "")
@@ -171,15 +194,8 @@ def _prefixes(prefix: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.least(F.length(prefix), F.lit(MAX_PREFIX))), lambda k: F.substring(prefix, F.lit(1), k))
 
 
-def count_terms(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts of all terms of ``texts(src_field, text)``, and the number of texts of each field.
-
-    Null texts are no records; a text without a term is a record.  Returns
-    ``(src_field, term, n_total, n_records)`` and ``(src_field, n_texts)``.
-    """
-    texts = texts.select("src_field", "text").filter(F.col("text").isNotNull() & F.col("src_field").isNotNull())
-    tries = materialize(texts.mapInArrow(_count, CONTAINERS), "tries")
-    n_texts = tries.groupBy("src_field").agg(F.sum("n_texts").alias("n_texts"))
+def matching_subtrees(tries: DataFrame) -> DataFrame:
+    """``src_field, route, suffixes, totals, records, part``: entries that belong to one route and part are merged together."""
     filled = tries.filter(F.size("suffixes") > 0)
     entries = filled.agg(F.coalesce(F.sum(F.size("suffixes")), F.lit(0))).first()[0]
     share = max(ROUTE_ENTRIES, entries // MAX_ROUTES + 1)
@@ -192,10 +208,27 @@ def count_terms(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     # At most entries/share <= MAX_ROUTES prefixes of each length can be heavy.
     for field, prefix, _ in weights.filter(F.col("n") > share).collect():
         heavy.setdefault(field, set()).add(prefix)
-    routed = filled.select("src_field", "prefix", "suffixes", "totals", "records").mapInArrow(
-        _router(heavy), "src_field string, route string, suffixes array<string>, totals array<bigint>, records array<bigint>"
-    )
-    return routed.groupBy("src_field", "route").applyInArrow(_merge, COUNTS), n_texts
+    entry = "src_field string, route string, suffixes array<string>, totals array<bigint>, records array<bigint>"
+    routed = in_arrow(filled.select("src_field", "prefix", "suffixes", "totals", "records"), _router(heavy), entry)
+    # The routes to split stay a table, as their number grows with the collection; it is sent to the tasks while it is small.
+    splits = F.ceil(F.sum(F.size("suffixes")) / ROUTE_ENTRIES).cast("int")
+    large = materialize(routed.groupBy("src_field", "route").agg(splits.alias("splits")).filter("splits > 1"), "routes")
+    if large.count() <= MAX_ROUTES:
+        large = F.broadcast(large)
+    sized = routed.join(large, ["src_field", "route"], "left").select("src_field", "route", "suffixes", "totals", "records", F.coalesce("splits", F.lit(1)).alias("splits"))
+    return in_arrow(sized, _split_heavy, f"{entry}, part int")
+
+
+def count_terms(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts of all terms of ``texts(src_field, text)``, and the number of texts of each field.
+
+    Null texts are no records; a text without a term is a record.  Returns
+    ``(src_field, term, n_total, n_records)`` and ``(src_field, n_texts)``.
+    """
+    texts = texts.select("src_field", "text").filter(F.col("text").isNotNull() & F.col("src_field").isNotNull())
+    tries = materialize(in_arrow(texts, _count, CONTAINERS), "tries")
+    n_texts = tries.groupBy("src_field").agg(F.sum("n_texts").alias("n_texts"))
+    return matching_subtrees(tries).groupBy("src_field", "route", "part").applyInArrow(_merge, COUNTS), n_texts
 
 
 def one_per_record(df: DataFrame, id_col: str, text_col: str, arrived: str, src_field: str) -> DataFrame:

@@ -47,6 +47,23 @@ def test_against_brute_force_with_many_routes(spark, monkeypatch):
     assert run(spark, rows) == brute([r[:2] for r in rows])
 
 
+def test_groups_are_bounded_whatever_the_terms_and_tasks(spark, monkeypatch):
+    """Small tries of many tasks, terms that begin alike far beyond any prefix that is counted, one term in every task."""
+    from pyspark.sql import functions as F
+
+    from memloom.llm.terms import CONTAINERS, _count, matching_subtrees
+
+    monkeypatch.setattr(terms, "ROUTE_ENTRIES", 500)
+    monkeypatch.setattr(terms, "MAX_ROUTES", 4)
+    begins = "x" * 40
+    rows = [("m", " ".join(f"{begins}{i}a{task}" for i in range(200)) + " the") for task in range(16)] + [("m", " ".join(f"{begins}{i}" for i in range(200)))] * 8
+    texts = spark.createDataFrame(rows, "src_field string, text string").repartition(16)
+    tries = texts.mapInArrow(_count, CONTAINERS).cache()
+    sizes = matching_subtrees(tries).groupBy("src_field", "route", "part").agg(F.sum(F.size("suffixes")).alias("n")).collect()
+    assert sum(r.n for r in sizes) > 3200 and max(r.n for r in sizes) < 2 * 500
+    assert run(spark, [(*r, 1) for r in rows]) == brute(rows)
+
+
 def test_redelivered_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b", "2024-01-02"), (1, "a b", "2024-01-01"), (None, "a", None), (None, "a", None), (2, None, "x")], "id bigint, text string, at string")
     kept = one_per_record(df, "id", "text", "at", "f")
