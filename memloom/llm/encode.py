@@ -1,10 +1,12 @@
 """Encoding a whole corpus with a public tokenizer, each distinct word once.
 
 The corpus is read once, in blocks.  A block's words are numbered; what leaves the task is one row for each
-distinct word of the block, and one row with the block's positions as packed word numbers.  The word rows are
-shuffled by word, where each distinct word of the corpus is encoded once; its ids are joined back to the block's
-number, and each block is put together again by position.  So positions are moved once, in about a byte each, and
-a word of which a third of the corpus consists is one row for each block.
+distinct word of the block, and one row with the block's positions as packed word numbers.  The distinct words of the
+corpus (combined in each task before they are shuffled) are encoded once each; their ids are joined back to the
+blocks' rows, and each block is put together again by position.  So positions are moved once, in about a byte each.
+A word of which a third of the corpus consists is one row for each block; the ``HOT_WORDS`` words of most blocks are
+joined in the tasks that hold the rows, so of the rows that are shuffled by word none has more than one in
+``HOT_WORDS`` of them all.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memloom.llm.tokenizers import TOKENIZER_DIR, encoder, rank_bytes, token_bytes, word_text, words
-from memloom.workspace import materialize
+from memloom.workspace import in_arrow, materialize
 
 #: Characters in a block; a longer text is a block by itself.
 BLOCK_CHARS = 2_000_000
+#: Words of most blocks whose ids are sent to the tasks, and how long they may be: some 1 MB in all.
+HOT_WORDS, HOT_CHARS = 10_000, 64
 _TASK_BLOCKS = 1 << 32
 
 
@@ -82,18 +86,11 @@ def _cut_blocks(id_type: pa.DataType, block_chars: int):
 
 
 def _encode_words(ranks_of):
-    """Encode each word when it first comes; the rows are sorted by word, so its repeats follow at once."""
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(ranks_of.value)
-        last, last_ids = None, b""
         for batch in batches:
-            coded = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, last_ids = word, np.asarray(ids_of(word_text(word)), np.uint32).astype("<u4").tobytes()
-                coded.append(last_ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coded, pa.binary())], ["block", "word_no", "ids"])
+            coded = [np.asarray(ids_of(word_text(word)), np.uint32).astype("<u4").tobytes() for word in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coded, pa.binary())], ["word", "n_blocks", "ids"])
 
     return encode
 
@@ -137,25 +134,33 @@ def encode_corpus(
     id_type = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string()}[type(id_field.dataType)]
     id_sql = id_field.dataType.simpleString()
     ranks = spark.sparkContext.broadcast(rank_bytes(tokenizer, tokenizer_dir))
-    blocks = docs.select(id_col, text_col).mapInArrow(
-        _cut_blocks(id_type, block_chars), f"block bigint, word_no int, word string, doc_ids array<{id_sql}>, n_words array<int>, positions binary"
-    )
+    blocks = in_arrow(docs.select(id_col, text_col), _cut_blocks(id_type, block_chars), f"block bigint, word_no int, word string, doc_ids array<{id_sql}>, n_words array<int>, positions binary")
     blocks = materialize(blocks, "blocks")
-    rows = blocks.filter("word is not null").select("block", "word_no", "word").repartition("word").sortWithinPartitions("word")
-    coded = rows.mapInArrow(_encode_words(ranks), "block bigint, word_no int, ids binary")
+    rows = blocks.filter("word is not null").select("block", "word_no", "word")
+    coded_words = in_arrow(rows.groupBy("word").agg(F.count("*").alias("n_blocks")), _encode_words(ranks), "word string, n_blocks bigint, ids binary")
+    coded_words = materialize(coded_words, "words")
+    hot = coded_words.filter(F.length("word") <= HOT_CHARS).orderBy(F.desc("n_blocks"), "word").limit(HOT_WORDS).select("word", F.col("ids").alias("hot_ids"))
+    rows = rows.join(F.broadcast(hot), "word", "left")
+    seldom = rows.filter("hot_ids is null").select("block", "word_no", "word").join(coded_words.select("word", "ids"), "word").select("block", "word_no", "ids")
+    coded = rows.filter("hot_ids is not null").select("block", "word_no", F.col("hot_ids").alias("ids")).unionByName(seldom)
     positions = blocks.filter("word is null").select("block", "doc_ids", "n_words", "positions")
-    return positions.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_reassemble(id_col, id_type), f"{id_col} {id_sql}, ids array<int>")
+    coded = coded.select(F.col("block").alias("of_block"), "word_no", "ids")
+    return positions.groupBy("block").cogroup(coded.groupBy("of_block")).applyInArrow(_reassemble(id_col, id_type), f"{id_col} {id_sql}, ids array<int>")
 
 
 def decode_corpus(coded: DataFrame, *, id_col: str = "doc_id", tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """``id_col, text``: joins the token-byte table (fixed size, so it is sent to every task) and puts the bytes together."""
-    spark = coded.sparkSession
-    table = spark.sparkContext.broadcast({i: b for b, i in token_bytes(rank_bytes(tokenizer, tokenizer_dir)).items()})
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = table.value.__getitem__
-        for batch in batches:
-            texts = [None if ids is None else b"".join(map(of, ids)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
+    """``id_col, text`` of ``coded(id_col, ids)``: the token-byte table is joined and the bytes put together by position.
 
-    return coded.select(id_col, "ids").mapInArrow(decode, f"{id_col} {coded.schema[id_col].dataType.simpleString()}, text string")
+    The table has the tokenizer's fixed size, so it is sent to every task.  Repeated rows and null ids are kept; null
+    ids give a null text and no ids an empty one.
+    """
+    spark = coded.sparkSession
+    table = list(token_bytes(rank_bytes(tokenizer, tokenizer_dir)).items())
+    table = spark.createDataFrame(pa.table({"token": pa.array([i for _, i in table], pa.int32()), "bytes": pa.array([b for b, _ in table], pa.binary())}))
+    # Each row has a number of its own, fixed as it is written; partitioned by it, the tokens of a row never move again.
+    rows = materialize(coded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), "ids"), "coded")
+    tokens = rows.repartition("row").select("row", F.posexplode("ids").alias("pos", "token")).join(F.broadcast(table), "token")
+    in_order = F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("hex"))))
+    texts = tokens.groupBy("row").agg(F.unhex(F.array_join(in_order["hex"], "")).cast("string").alias("text"))
+    text = F.when(F.col("ids").isNotNull(), F.coalesce("text", F.lit("")))
+    return rows.join(texts, "row", "left").select(F.col("id").alias(id_col), text.alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm.encode import encode_corpus
+from memloom.llm.encode import decode_corpus, encode_corpus
 from memloom.llm.pack import pack_corpus, packing_report
 from memloom.llm.pairs import broken_pairs, qa_and_prediction_pairs
 from memloom.llm.pii import find_spans, redact
@@ -39,6 +39,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_corpus(p6_ids(spark, sf_dir))
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_corpus(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "p3_redacted": p3_redacted,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p6_decoded": p6_decoded,
     "p7_packed": p7_packed,
     "p7_report": p7_report,
     "p8_found": p8_found,
@@ -76,4 +81,6 @@ select src_field, term, n_total, n_records,
   case when n_records <= 2 then 'rare' when n_records > 0.1 * n then 'common' else 'usual' end mark
 from counted join n using (src_field)
 """,
+    # Decoding gives the texts back.
+    "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }

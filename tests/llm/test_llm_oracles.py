@@ -4,6 +4,11 @@ import pytest
 from memloom.llm.queries import ORACLES, QUERIES
 
 
+def test_decoding_by_sql(spark, data):
+    theirs = sorted(duckdb.sql(ORACLES["p6_decoded"].replace("documents", f"'{data}/documents.parquet'")).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["p6_decoded"](spark, data).collect()) == theirs
+
+
 def test_terms_by_sql(spark, data):
     c = duckdb.connect()
     for t in ("memories", "qa_items"):

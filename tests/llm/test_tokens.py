@@ -31,6 +31,7 @@ def test_corpus_ids_and_round_trip(spark):
     ids = encoder(rank_bytes())
     assert sorted((str(r.doc_id), list(r.ids)) for r in coded.collect()) == sorted((str(i), ids(t or "")) for i, t, _ in rows)
     back = {r.doc_id: r.text for r in decode_corpus(coded).collect()}
+    assert decode_corpus(coded).count() == len(rows)
     assert all(back[i] == (t or "") for i, t, _ in rows)
     assert encode_corpus(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
