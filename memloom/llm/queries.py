@@ -19,16 +19,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequencies(memories.unionByName(questions))
 
 
-def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_spans(table(spark, sf_dir, "turns"), table(spark, sf_dir, "person_names"))
-
-
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir).select("turn_id", "pii_type", "start_pos")
+    return find_spans(table(spark, sf_dir, "turns"), table(spark, sf_dir, "person_names")).select("turn_id", "pii_type", "start_pos")
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact(table(spark, sf_dir, "turns"), _spans(spark, sf_dir))
+    return redact(table(spark, sf_dir, "turns"), table(spark, sf_dir, "person_names"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,15 +29,22 @@ def found(text):
         ("I met Dr. Lundamere today", ("person_name", "Lundamere")),
         ("Ask T. Corvistad's office", ("person_name", "T. Corvistad")),
         ("They put Velloquist, Keldan on the list", ("person_name", "Velloquist, Keldan")),
+        ("her national ID, AB123456C, was leaked", ("id_number", "AB123456C")),
+        ("Her ID, issued in Spain, reads 12345678Z", ("id_number", "12345678Z")),
+        ("Passnummer C01X00T47", ("id_number", "C01X00T47")),
+        ("We stayed at via Roma 12, Milano", ("street_address", "via Roma 12")),
+        ("I live at 12 Oak Trail now", ("street_address", "12 Oak Trail")),
+        ("Call five-five-five-zero-one-two-three please", ("phone", "five-five-five-zero-one-two-three")),
+        ("I'm at twelve Alder Street's back door", ("street_address", "twelve Alder Street")),
     ],
 )
 def test_spans(text, want):
     assert want in found(text)
 
 
-@pytest.mark.parametrize("text", ["Keldan came home", "I planted 27 alder trees", "The order number is #4003-IV", "Check D11:17 and D8:3", "We scored 18-1 and 110-98", "follow @keldan8", "version v2.3-beta@stable", None, "", "   "])
+@pytest.mark.parametrize("text", ["Keldan came home", "I planted 27 alder trees", "The order number is #4003-IV", "Check D11:17 and D8:3", "We scored 18-1 and 110-98", "They sang for 20 people. New place to sing", "follow @keldan8", "version v2.3-beta@stable", None, "", "   "])
 def test_no_spans(text):
-    assert spans_of(text, Names.of(NAMES)) == []
+    assert [s for s in spans_of(text, Names.of(NAMES)) if sum(s.votes) > 0] == []
 
 
 def test_places_survive_tidying():
@@ -48,16 +55,72 @@ def test_places_survive_tidying():
     assert text[s.start : s.end] == "k­e@post.example"
 
 
+def test_prefilters_lose_nothing(monkeypatch):
+    from memloom.llm import pii
+
+    texts = ["Call five-five-five-zero-one-two-three please", "I'm at twelve Alder Street's back door", "ping-jane at post.example", "ask J.Velloquist", "Ask T. Corvistad's office", "we met at noon", "Lundamere-Brem, Keldan", "von der Hask", "12 Oak", "Mr Smith", "O'Marrin's"]
+    texts += [" ".join(t) for t in zip(texts, reversed(texts))] + [t.upper() for t in texts] + [t.lower() for t in texts]
+    names = Names.of(NAMES)
+    filtered = [spans_of(t, names) for t in texts]
+    monkeypatch.setattr(pii, "_possible", lambda plain, names: (True, True, True, [pii._STREET, pii._RUE, pii._CALLE, pii._STRASSE, pii._BOX], True))
+    assert filtered == [spans_of(t, names) for t in texts]
+
+
+def test_shape_of_names_is_learned():
+    names = Names.of([n for n in NAMES if n[0] != "Lundoquist"], "the market harbour yesterday because weather bicycle kitchen garden evening morning wonderful".split())
+    assert names.family_vote("Lundoquist") == 2 and names.family_vote("Velloquist") == 1
+    assert not any(names.family_vote(w) for w in ("bicycle", "kitchen", "Keldan", "evening"))
+
+
+def test_check_digits():
+    from memloom.llm.pii import _check_digit, _isbn
+
+    assert _check_digit("12345678Z") and not _check_digit("12345678A") and _check_digit("X1234567L")
+    assert _check_digit("2 69 05 49 588 157 80") and _check_digit("86095742719") and not _check_digit("86095742718")
+    assert _isbn("9780306406157") and not _isbn("9780306406158")
+
+
+PERSONAL = [f"my mail is user{i}@post.example, it works" for i in range(30)] + [f"Call me on +44 7700 9003{i:02d} tonight" for i in range(30)] + ["I hope May will be warmer."] * 30
+
+
 def test_found_and_redacted(spark):
-    texts = [f"my mail is user{i}@post.example, it works" for i in range(30)] + [f"Call me on +44 7700 9003{i:02d} tonight" for i in range(30)] + ["I hope May will be warmer."] * 30
+    texts = PERSONAL
     rows = [(i, t, 0) for i, t in enumerate(texts)] + [(0, texts[0], 0), (500, None, 0), (501, "", 0), (502, "x " * 50000, 0)]
     df = spark.createDataFrame(rows, "turn_id bigint, text string, score int")
     names = spark.createDataFrame(NAMES, "name_text string, name_kind string")
-    spans = find_spans(df, names).cache()
-    assert {(r.turn_id, r.pii_type, r.start_pos) for r in spans.collect()} == {(i, "email", 11) for i in range(30)} | {(i, "phone", 11) for i in range(30, 60)}
-    out = {r.turn_id: r.text for r in redact(df, spans).collect()}
-    assert out[3] == "my mail is [EMAIL], it works" and out[35] == "Call me on [PHONE] tonight" and out[500] is None and out[70] == texts[70]
-    assert find_spans(df.limit(0), names).count() == 0 and find_spans(df, names.limit(0)).count() == 60
+    spans = find_spans(df, names).collect()
+    assert sorted((r.turn_id, r.pii_type, r.start_pos) for r in spans) == sorted([(i, "email", 11) for i in range(30)] + [(i, "phone", 11) for i in range(30, 60)])
+    redacted = redact(df, names).collect()
+    out = {r.turn_id: r.text for r in redacted}
+    assert out[3] == "my mail is [EMAIL], it works" and out[35] == "Call me on [PHONE] tonight" and out[500] is None and out[501] == "" and out[70] == texts[70]
+    assert len(redacted) == len(rows) and sum(r.turn_id == 0 for r in redacted) == 2
+    assert find_spans(df.limit(0), names).count() == 0 and find_spans(df, names.limit(0)).count() == 60 and redact(df.limit(0), names).count() == 0
+
+
+def test_redaction_does_not_hang_on_ids(spark):
+    """Rows without an id, and two texts of one id, are each redacted by their own text."""
+    rows = [(i, t) for i, t in enumerate(PERSONAL)] + [(None, "Mail me at jane.miller@example.com today"), (None, None), (7, "Now it is new.user7@post.example, write there"), (7, "nothing here")]
+    df = spark.createDataFrame(rows, "turn_id bigint, text string")
+    names = spark.createDataFrame(NAMES, "name_text string, name_kind string")
+    out = [(r.turn_id, r.text) for r in redact(df, names).collect()]
+    assert len(out) == len(rows) and sorted(t for i, t in out if i == 7) == ["Now it is [EMAIL], write there", "my mail is [EMAIL], it works", "nothing here"]
+    assert sorted(str(t) for i, t in out if i is None) == ["Mail me at [EMAIL] today", "None"]
+    spans = find_spans(df, names).collect()
+    assert (None, "email", 11) in {(r.turn_id, r.pii_type, r.start_pos) for r in spans} and sum(r.turn_id == 7 for r in spans) == 2
+    # Round trip: what stands outside the places is unchanged.
+    again = {r.text for r in redact(spark.createDataFrame(out, "turn_id bigint, text string"), names).collect()}
+    assert again == {t for _, t in out}
+
+
+def test_large_gazetteers_are_joined(spark, monkeypatch):
+    from memloom.llm import pii
+
+    texts = [f"I met {t} Lundamere{s} today, it was fine number {i}" for i, (t, s) in enumerate(zip(["Dr.", "Keldan", "T.", "Mrs."] * 10, ["", "'s", "", ","] * 10))]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "Ask Tavido O'Marrin about it")], "turn_id bigint, text string")
+    names = spark.createDataFrame(NAMES, "name_text string, name_kind string")
+    want = sorted(map(str, find_spans(df, names).select("turn_id", "pii_type", "start_pos").collect()))
+    monkeypatch.setattr(pii, "MAX_NAMES", 3)
+    assert sorted(map(str, find_spans(df, names).select("turn_id", "pii_type", "start_pos").collect())) == want and len(want) >= 40
 
 
 @pytest.mark.parametrize(
