@@ -5,14 +5,14 @@ discrete features; a hidden Markov model with the states prose, link list, tag l
 lines by their features and by their neighbours.  A page is flagged if more than half of its characters are in
 lines labelled link list, tag list or menu.
 
-The model starts from weak beliefs about the features of each state and is fitted by expectation-maximisation on
-a bounded sample of pages (``FIT_PAGES``, those with the smallest hash of their id); all pages are then labelled
-in one narrow pass over whole texts.
+Whole texts are read once; what is kept of a line is one number for its features and its size.  The model starts from
+beliefs about the features of each state and is fitted by expectation-maximisation on all pages: in each round every
+task adds up its expected counts (pages of like lengths are computed together), and only their sums, a few hundred
+numbers, reach the driver.  The beliefs weigh a fixed share of all lines, so the model is alike at every size.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.workspace import in_arrow, materialize
+
 STATES = ("prose", "link_list", "tag_list", "menu", "data")
 SPAM_STATES = (1, 2, 3)
 
-#: The model is fitted on at most so many pages and so many of their lines.
-FIT_PAGES = 1500
-FIT_LINES = 60_000
+#: Rounds of expectation-maximisation, and the weight of the starting beliefs as a share of all lines.
 FIT_ROUNDS = 6
-#: Strength of the starting beliefs, in lines.
-PRIOR_LINES = 3000.0
+PRIOR_SHARE = 0.05
+#: Lines (with padding) that are computed together.
+TOGETHER = 200_000
 #: Lines longer than this are cut at sentence ends, and those without one at words.
 LONG_LINE = 240
 
@@ -180,6 +181,34 @@ def _beliefs() -> list[np.ndarray]:
     return [np.array(r, float) / np.array(r, float).sum(1, keepdims=True) for r in rows]
 
 
+def _values(symbols: np.ndarray) -> list[np.ndarray]:
+    """The value of each feature in each symbol."""
+    out = []
+    for k in reversed(_SIZES):
+        symbols, value = np.divmod(symbols, k)
+        out.append(value)
+    return out[::-1]
+
+
+_N_SYMBOLS = int(np.prod(_SIZES))
+_VALUES = _values(np.arange(_N_SYMBOLS))
+
+
+def _together(pages: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Groups of pages of like lengths, longest first: their places, their symbols in a padded table, and how many of them reach each line."""
+    order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: -len(pages[i]))
+    at = 0
+    while at < len(order):
+        longest = len(pages[order[at]])
+        group = order[at : at + max(1, TOGETHER // longest)]
+        table = np.zeros((len(group), longest), np.int64)
+        for row, i in enumerate(group):
+            table[row, : len(pages[i])] = pages[i]
+        lengths = np.array([len(pages[i]) for i in group])
+        yield group, table, (lengths[:, None] > np.arange(longest)).sum(0)
+        at += len(group)
+
+
 class LineModel:
     """Hidden Markov model whose emissions are products of the features' distributions."""
 
@@ -190,108 +219,153 @@ class LineModel:
         self.move = np.full((n, n), 0.02)
         np.fill_diagonal(self.move, 0.92)
 
-    def _values(self, symbols: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for k in reversed(_SIZES):
-            symbols, value = np.divmod(symbols, k)
-            out.append(value)
-        return out[::-1]
-
     def log_emissions(self) -> np.ndarray:
         """Row for each possible symbol: log probability in each state."""
-        values = self._values(np.arange(math.prod(_SIZES)))
-        return sum(np.log(e[:, v].T) for e, v in zip(self.emit, values))
-
-    def fit(self, pages: list[list[int]], rounds: int = FIT_ROUNDS) -> LineModel:
-        """Expectation-maximisation with the starting beliefs as pseudo counts."""
-        prior = [e * PRIOR_LINES for e in _beliefs()]
-        pages = [np.array(p) for p in pages if p]
-        values = [self._values(p) for p in pages]
-        for _ in range(rounds):
-            table = self.log_emissions()
-            seen = [p.copy() for p in prior]
-            moves, starts = self.move * PRIOR_LINES, self.start * 100.0
-            for page, vals in zip(pages, values):
-                b = table[page]
-                b = np.exp(b - b.max(1, keepdims=True))
-                alpha, beta = np.empty_like(b), np.ones_like(b)
-                a = self.start * b[0]
-                alpha[0] = a / a.sum()
-                for t in range(1, len(b)):
-                    a = (alpha[t - 1] @ self.move) * b[t]
-                    alpha[t] = a / a.sum()
-                for t in range(len(b) - 2, -1, -1):
-                    x = self.move @ (b[t + 1] * beta[t + 1])
-                    beta[t] = x / x.sum()
-                gamma = alpha * beta
-                gamma /= gamma.sum(1, keepdims=True)
-                starts = starts + gamma[0]
-                if len(b) > 1:
-                    xi = np.einsum("ti,ij,tj->tij", alpha[:-1], self.move, b[1:] * beta[1:])
-                    moves = moves + (xi / xi.sum((1, 2), keepdims=True)).sum(0)
-                for s, v in zip(seen, vals):
-                    np.add.at(s.T, v, gamma)
-            self.emit = [s / s.sum(1, keepdims=True) for s in seen]
-            self.move = moves / moves.sum(1, keepdims=True)
-            self.start = starts / starts.sum()
-        return self
-
-    def compiled(self) -> tuple[list, list, list]:
-        return self.log_emissions().tolist(), np.log(self.move).T.tolist(), np.log(self.start).tolist()
-
-
-def viterbi(model: tuple[list, list, list], symbols: list[int]) -> list[int]:
-    """The likeliest states of a page's lines."""
-    table, into, start = model
-    score = [s + e for s, e in zip(start, table[symbols[0]])]
-    back = []
-    for symbol in symbols[1:]:
-        step, new = [], []
-        for moves, e in zip(into, table[symbol]):
-            reached = [s + m for s, m in zip(score, moves)]
-            best = max(reached)
-            step.append(reached.index(best))
-            new.append(best + e)
-        back.append(step)
-        score = new
-    states = [score.index(max(score))]
-    for step in reversed(back):
-        states.append(step[states[-1]])
-    return states[::-1]
-
-
-def spam_share(model: tuple[list, list, list], text: str | None) -> float:
-    """Share of a text's visible characters in lines that are no prose (0 for a null or blank text)."""
+        return sum(np.log(e[:, v].T) for e, v in zip(self.emit, _VALUES))
+
+    def expected_counts(self, pages: list[np.ndarray]) -> np.ndarray:
+        """Expected counts of starts, moves and feature values over the pages, one after the other in one vector."""
+        n = len(STATES)
+        log_b = self.log_emissions()
+        table = np.exp(log_b - log_b.max(1, keepdims=True))
+        starts, moves, seen = np.zeros(n), np.zeros((n, n)), np.zeros((_N_SYMBOLS, n))
+        for _, symbols, reach in _together(pages):
+            b = table[symbols]
+            alpha, beta = np.zeros_like(b), np.ones_like(b)
+            a = self.start * b[:, 0]
+            alpha[:, 0] = a / a.sum(1, keepdims=True)
+            for t in range(1, b.shape[1]):
+                on = reach[t]
+                a = (alpha[:on, t - 1] @ self.move) * b[:on, t]
+                alpha[:on, t] = a / a.sum(1, keepdims=True)
+            for t in range(b.shape[1] - 2, -1, -1):
+                on = reach[t + 1]
+                x = (b[:on, t + 1] * beta[:on, t + 1]) @ self.move.T
+                beta[:on, t] = x / x.sum(1, keepdims=True)
+            there = np.arange(len(b))[:, None] < reach
+            gamma = (alpha * beta)[there]
+            gamma /= gamma.sum(1, keepdims=True)
+            starts += (alpha[:, 0] * beta[:, 0] / (alpha[:, 0] * beta[:, 0]).sum(1, keepdims=True)).sum(0)
+            flat = symbols[there]
+            for state in range(n):
+                seen[:, state] += np.bincount(flat, gamma[:, state], _N_SYMBOLS)
+            follows = there[:, 1:]
+            left, right = alpha[:, :-1][follows], (b[:, 1:] * beta[:, 1:])[follows]
+            if len(left):
+                weight = 1.0 / np.einsum("ni,ij,nj->n", left, self.move, right)
+                moves += self.move * ((left * weight[:, None]).T @ right)
+        features = [np.stack([np.bincount(v, seen[:, state], k) for state in range(n)]) for v, k in zip(_VALUES, _SIZES)]
+        return np.concatenate([starts, moves.ravel(), *[f.ravel() for f in features]])
+
+    def updated(self, counts: np.ndarray) -> LineModel:
+        """The model by the summed counts of all pages, with the starting beliefs as ``PRIOR_SHARE`` of them."""
+        n = len(STATES)
+        starts, moves = counts[:n], counts[n : n + n * n].reshape(n, n)
+        new, at = LineModel(), n + n * n
+        emit = []
+        for belief, k in zip(new.emit, _SIZES):
+            seen = counts[at : at + n * k].reshape(n, k)
+            at += n * k
+            seen = seen + belief * (PRIOR_SHARE * seen.sum() + 1e-9)
+            emit.append(seen / seen.sum(1, keepdims=True))
+        moves = moves + new.move * (PRIOR_SHARE * moves.sum() + 1e-9)
+        starts = starts + new.start * (PRIOR_SHARE * starts.sum() + 1e-9)
+        new.emit, new.move, new.start = emit, moves / moves.sum(1, keepdims=True), starts / starts.sum()
+        return new
+
+    def states(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """The likeliest states of each page's lines (Viterbi)."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8) for _ in pages]
+        emit, move = self.log_emissions(), np.log(self.move)
+        for group, symbols, reach in _together(pages):
+            table = emit[symbols]
+            score = np.log(self.start) + table[:, 0]
+            back = np.zeros(table.shape, np.int8)
+            for t in range(1, table.shape[1]):
+                on = reach[t]
+                steps = score[:on, :, None] + move
+                back[:on, t] = steps.argmax(1)
+                score[:on] = steps.max(1) + table[:on, t]
+            state = np.zeros(symbols.shape, np.int8)
+            last = score.argmax(1)
+            rows = np.arange(len(group))
+            for t in range(table.shape[1] - 1, -1, -1):
+                on = reach[t]
+                state[:on, t] = last[:on]
+                last[:on] = back[rows[:on], t, last[:on]]
+            for row, i in enumerate(group):
+                out[i] = state[row, : len(pages[i])]
+        return out
+
+
+def spam_shares(model: LineModel, pages: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+    """Share of each page's visible characters in lines that are no prose (0 for a blank page)."""
+    spam = np.isin(np.arange(len(STATES)), SPAM_STATES)
+    return np.array([n[spam[s]].sum() / max(n.sum(), 1) if len(n) else 0.0 for s, n in zip(model.states(pages), sizes)])
+
+
+def spam_share(model: LineModel, text: str | None) -> float:
+    """``spam_shares`` of one text (0 for a null or blank one)."""
     lines = lines_of(text or "")
-    if not lines:
-        return 0.0
-    states = viterbi(model, symbols_of(lines))
-    sizes = [len(line.strip()) for line in lines]
-    return sum(n for n, s in zip(sizes, states) if s in SPAM_STATES) / max(sum(sizes), 1)
+    return float(spam_shares(model, [np.array(symbols_of(lines), np.int64)], [np.array([len(x.strip()) for x in lines], np.int64)])[0])
+
+
+_LINES = "symbols array<smallint>, sizes array<int>"
+
+
+def line_symbols(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, symbols, sizes`` of the lines of every page that has some."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, symbols, sizes = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                if lines := lines_of(text.as_py() or ""):
+                    ids.append(i)
+                    symbols.append(symbols_of(lines))
+                    sizes.append([len(line.strip()) for line in lines])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(symbols, pa.list_(pa.int16())), pa.array(sizes, pa.list_(pa.int32()))], [id_col, "symbols", "sizes"])
+
+    return in_arrow(docs.select(id_col, text_col), describe, f"{id_col} {id_type}, {_LINES}")
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.split(flat, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(column) else []
+
+
+def fit_line_model(lines: DataFrame, rounds: int = FIT_ROUNDS) -> LineModel:
+    """The line model, fitted on all pages of ``lines(symbols)``."""
+    model = LineModel()
+    for _ in range(rounds):
+        sent = lines.sparkSession.sparkContext.broadcast(model)
 
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for batch in batches:
+                total = total + sent.value.expected_counts(_lists(batch.column(0)))
+            if np.ndim(total):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "n"])
 
-def fit_line_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pages: int = FIT_PAGES) -> LineModel:
-    """The line model, fitted on the pages with the smallest hash of their id (bounded: see ``FIT_PAGES``)."""
-    sample = docs.filter(F.col(text_col).isNotNull()).orderBy(F.xxhash64(F.col(id_col)), F.col(text_col)).limit(pages).select(text_col)
-    symbols: list[list[int]] = []
-    n = 0
-    for (text,) in sample.toLocalIterator():
-        if n < FIT_LINES and (lines := lines_of(text)):
-            symbols.append(symbols_of(lines)[: FIT_LINES - n])
-            n += len(symbols[-1])
-    return LineModel().fit(symbols)
+        # The counts are summed before they reach the driver: one number for each, whatever the number of tasks.
+        found = in_arrow(lines.select("symbols"), count, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).orderBy("i").collect()
+        if not found:
+            break
+        model = model.updated(np.array([r.n for r in found]))
+    return model
 
 
-def page_labels(docs: DataFrame, model: LineModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, spam_share`` of every page."""
-    compiled = docs.sparkSession.sparkContext.broadcast(model.compiled())
+def page_labels(lines: DataFrame, model: LineModel, *, id_col: str = "doc_id") -> DataFrame:
+    """``id_col, spam_share`` of every page of ``lines(id_col, symbols, sizes)``."""
+    sent = lines.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shares = [spam_share(compiled.value, text.as_py()) for text in batch.column(1)]
+            shares = spam_shares(sent.value, _lists(batch.column(1)), _lists(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], [id_col, "spam_share"])
 
-    return docs.select(id_col, text_col).mapInArrow(label, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, spam_share double")
+    return in_arrow(lines.select(id_col, "symbols", "sizes"), label, f"{id_col} {lines.schema[id_col].dataType.simpleString()}, spam_share double")
 
 
 def spam_pages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -300,5 +374,5 @@ def spam_pages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Null, empty and blank texts are never flagged; repeated rows of a page are flagged each; an empty table gives
     no rows; other columns are not read.
     """
-    model = fit_line_model(docs, id_col=id_col, text_col=text_col)
-    return page_labels(docs, model, id_col=id_col, text_col=text_col).filter(F.col("spam_share") > threshold).select(id_col)
+    lines = materialize(line_symbols(docs, id_col=id_col, text_col=text_col), "lines")
+    return page_labels(lines, fit_line_model(lines), id_col=id_col).filter(F.col("spam_share") > threshold).select(id_col)

@@ -289,19 +289,36 @@ FINE = {"prose": PROSE * 8, "with links": PROSE * 6 + "\n\nSee also\nhttps://a.e
 
 
 def test_pages():
-    model = LineModel().compiled()
+    model = LineModel()
     assert {k: spam_share(model, t) > 0.5 for k, t in SPAM.items()} == dict.fromkeys(SPAM, True)
     assert {k: spam_share(model, t) > 0.5 for k, t in FINE.items()} == dict.fromkeys(FINE, False)
     assert "".join(lines_of("x" * 5000)) == "x" * 5000
 
 
 def test_pages_in_other_scripts():
-    model = LineModel().compiled()
+    model = LineModel()
     spam = ["дешёвый ноутбук, купить дешёвый ноутбук, дешёвый ноутбук онлайн, " * 8, "Главная > Вход > Корзина > Карта сайта > Страница > Далее > " * 8, "#ноутбук #купить #скидка #магазин " * 12, "便宜 笔记本, 购买 便宜 笔记本, 便宜 笔记本 商店, " * 10]
     fine = ["Мы гуляли вдоль реки, потому что погода была хорошая, и потом долго говорили о старом доме. " * 8, "我们沿着河边散步，因为天气很好。后来我们谈了很久关于老房子的事情。" * 8, "हम नदी के किनारे टहल रहे थे क्योंकि मौसम अच्छा था और फिर हमने पुराने घर के बारे में बात की। " * 8]
     assert [spam_share(model, t) > 0.5 for t in spam] == [True] * 4 and [spam_share(model, t) > 0.5 for t in fine] == [False] * 3
 
 
+def test_pages_are_computed_together_as_alone():
+    """Forward-backward and Viterbi of padded groups against one page at a time."""
+    import numpy as np
+
+    from memloom.llm import spam
+
+    r = np.random.default_rng(4)
+    pages = [r.integers(0, spam._N_SYMBOLS, n) for n in (1, 7, 3, 0, 12, 7, 1)]
+    model = LineModel()
+    assert np.allclose(model.expected_counts(pages), sum(model.expected_counts([p]) for p in pages))
+    assert [list(s) for s in model.states(pages)] == [list(model.states([p])[0]) for p in pages]
+    counts = model.expected_counts(pages)
+    assert np.isclose(counts[:5].sum(), 6) and np.isclose(counts[5:30].sum(), sum(len(p) for p in pages) - 6)
+    better = model.updated(counts)
+    assert all(np.allclose(e.sum(1), 1) for e in better.emit) and np.allclose(better.move.sum(1), 1)
+
+
 def test_spam_pages_of_a_table(spark):
     pages = list(SPAM.items()) + list(FINE.items())
     rows = [(i, t, 0.0) for i, (_, t) in enumerate(pages)] + [(0, SPAM["keywords"], 0.0)]
