@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memloom.llm.tokenizers import TOKENIZER_DIR, encoder, rank_bytes, word_text, words
-from memloom.workspace import materialize
+from memloom.workspace import in_arrow, materialize
 
 #: Distinct words whose sizes a task remembers before it forgets them all.
 CACHED_WORDS = 300_000
@@ -189,9 +189,7 @@ def pack_corpus(
     kind = docs.schema[id_col].dataType
     id_type = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string()}[type(kind)]
     ranks = spark.sparkContext.broadcast(rank_bytes(tokenizer, tokenizer_dir))
-    items = docs.select(id_col, text_col).mapInArrow(
-        _measure(ranks, capacity, id_type), f"id {kind.simpleString()}, piece_no int, n_tokens int, task int, local_rank bigint"
-    )
+    items = in_arrow(docs.select(id_col, text_col), _measure(ranks, capacity, id_type), f"id {kind.simpleString()}, piece_no int, n_tokens int, task int, local_rank bigint")
     items = materialize(items, "sizes")
     by_task = items.groupBy("task", "n_tokens").agg(F.count("*").alias("n"))
     before = Window.partitionBy("n_tokens").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -211,7 +209,8 @@ def pack_corpus(
                 container[filled] = containers_of(plan.value, lengths[filled], rank[filled])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(container)], [id_col, "piece_no", "n_tokens", "container"])
 
-    ranked = items.join(offsets, ["task", "n_tokens"]).select("id", "piece_no", "n_tokens", (F.col("local_rank") + F.col("offset")).alias("rank"))
+    # Offsets grow with the number of tasks: merged, not sent to every task.
+    ranked = items.join(offsets.hint("merge"), ["task", "n_tokens"]).select("id", "piece_no", "n_tokens", (F.col("local_rank") + F.col("offset")).alias("rank"))
     return ranked.mapInArrow(place, f"{id_col} {kind.simpleString()}, piece_no int, n_tokens int, container bigint")
 
 
