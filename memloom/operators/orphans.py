@@ -6,8 +6,10 @@ orphan beyond that run's end.  A run also carries when its first and last key be
 almost every reference in time as well; only references that fall between these two moments, or on keys with
 removed rows, are checked against the single rows (again as-of, this time along the time axis).
 
-Scale: parents are aggregated before any window; windows hold at most ``BUCKET`` keys of a space; references of
-a hot key are salted ``SALTS`` ways while the (small) runs are repeated for each salt.
+Scale: parents and references are each combined by key before any window, so that a window holds at most ``BUCKET``
+keys and runs of a space, whatever the number of rows of a key; the verdict on a key is then joined to its references
+(hot keys in the tasks that hold them).  Only references that have to be checked in time are sorted by key, a hot key's
+in parts of ``PART_ROWS``, to each of which the key's own rows are repeated.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.ids import DIA_ID, evidence_ids, ids_in
+from memloom.operators.skew import hot_join
 from memloom.workspace import materialize
 
 #: Keys of one space are cut into buckets of so many, so that no window grows with a space.
 BUCKET = 4096
-#: Ways in which references of one bucket or key are spread.
-SALTS = 8
+#: References of one key that are checked in time in one group.
+PART_ROWS = 100_000
 
 SPACE = ["kind", "conv_id", "odd", "grp"]
 NEVER = "timestamp_ntz'9999-12-31 00:00:00'"
@@ -110,31 +113,26 @@ def _bucket(key: Column) -> Column:
     return F.floor(key / F.lit(BUCKET)).cast("bigint").alias("bucket")
 
 
-def _salted(refs: DataFrame) -> DataFrame:
-    return refs.withColumn("salt", F.pmod(F.xxhash64("row_id", "dia_id"), F.lit(SALTS)).cast("int"))
-
-
-def _each_salt(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _match_runs(refs: DataFrame, runs: DataFrame) -> DataFrame:
-    """As-of match on the key: each reference with the last run of its bucket that starts at or before its key."""
+def key_verdicts(refs: DataFrame, runs: DataFrame) -> DataFrame:
+    """``SPACE, key, n_refs, run`` of every key that is referred to: as-of match with the last run of its bucket that starts at or before it."""
+    wanted = refs.groupBy(*SPACE, "key").agg(F.count("*").alias("n_refs"))
     run = F.struct("run_end", "seen_from", "seen_all", "mixed")
-    left = _each_salt(runs).select(*SPACE, "bucket", "salt", F.col("run_start").alias("at"), F.lit(0).alias("side"), run.alias("run"), F.lit(None).alias("ref"))
-    right = _salted(refs).select(*SPACE, _bucket(F.col("key")), "salt", F.col("key").alias("at"), F.lit(1).alias("side"), F.lit(None).alias("run"), F.struct("src_table", "row_id", "dia_id", "t").alias("ref"))
-    order = Window.partitionBy(*SPACE, "bucket", "salt").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    left = runs.select(*SPACE, "bucket", F.col("run_start").alias("at"), F.lit(0).alias("side"), run.alias("run"), F.lit(None).cast("bigint").alias("n_refs"))
+    right = wanted.select(*SPACE, _bucket(F.col("key")), F.col("key").alias("at"), F.lit(1).alias("side"), F.lit(None).alias("run"), "n_refs")
+    order = Window.partitionBy(*SPACE, "bucket").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     matched = left.unionByName(right).withColumn("run", F.last("run", ignorenulls=True).over(order))
-    return matched.filter("side = 1").select(*SPACE, F.col("at").alias("key"), "ref.*", "run")
+    return matched.filter("side = 1").select(*SPACE, F.col("at").alias("key"), "n_refs", "run")
 
 
 def _match_rows(refs: DataFrame, rows: DataFrame) -> DataFrame:
     """As-of match on time: whether some row of the key is there at ``t`` (the latest removal among rows arrived by then)."""
-    wanted = refs.select(*SPACE, "key").distinct()
-    rows = rows.join(wanted, [*SPACE, "key"], "left_semi").groupBy(*SPACE, "key", "ingested_at").agg(F.max("deleted_at").alias("deleted_at"))
-    left = _each_salt(rows).select(*SPACE, "key", "salt", F.col("ingested_at").alias("at"), F.lit(0).alias("side"), "deleted_at", F.lit(None).alias("ref"))
-    right = _salted(refs).select(*SPACE, "key", "salt", F.col("t").alias("at"), F.lit(1).alias("side"), F.lit(None).alias("deleted_at"), F.struct("src_table", "row_id", "dia_id", "t").alias("ref"))
-    order = Window.partitionBy(*SPACE, "key", "salt").orderBy(F.col("at").asc_nulls_first(), "side").rowsBetween(Window.unboundedPreceding, 0)
+    key = [*SPACE, "key"]
+    wanted = refs.groupBy(*key).agg(F.count("*").alias("n"), F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    rows = rows.groupBy(*key, "ingested_at").agg(F.max("deleted_at").alias("deleted_at")).join(wanted.select(*key, "parts"), key)
+    part = F.pmod(F.xxhash64("row_id", "dia_id"), F.col("parts")).cast("int").alias("part")
+    left = rows.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("ingested_at").alias("at"), F.lit(0).alias("side"), "deleted_at", F.lit(None).alias("ref"))
+    right = hot_join(refs, wanted, key, "n").select(*key, part, F.col("t").alias("at"), F.lit(1).alias("side"), F.lit(None).alias("deleted_at"), F.struct("src_table", "row_id", "dia_id", "t").alias("ref"))
+    order = Window.partitionBy(*key, "part").orderBy(F.col("at").asc_nulls_first(), "side").rowsBetween(Window.unboundedPreceding, 0)
     matched = left.unionByName(right).withColumn("until", F.max("deleted_at").over(order)).filter("side = 1").select("ref.*", "until")
     status = F.when(F.col("until").isNull(), "late").when(F.col("until") > F.col("t"), None).otherwise("deleted")
     return matched.withColumn("status", status)
@@ -151,7 +149,11 @@ def orphan_references(qa_items: DataFrame, turns: DataFrame, sessions: DataFrame
     * Rows of one record delivered again count once, at their earliest arrival; extra columns are not read.
     """
     rows, refs = parents(turns, sessions), references(qa_items, turns)
-    matched = _match_runs(refs, key_runs(rows))
+    refs = materialize(refs, "references")
+    nobody = refs.filter(F.col("conv_id").isNull())
+    verdicts = materialize(key_verdicts(refs.filter(F.col("conv_id").isNotNull()), key_runs(rows)), "verdicts")
+    matched = hot_join(refs.filter(F.col("conv_id").isNotNull()), verdicts, [*SPACE, "key"], "n_refs")
+    matched = matched.unionByName(nobody, allowMissingColumns=True)
     beyond = F.col("run").isNull() | (F.col("key") > F.col("run.run_end"))
     early = F.col("t").isNull() | (F.col("t") < F.col("run.seen_from"))
     verdict = (

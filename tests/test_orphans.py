@@ -3,7 +3,9 @@ import itertools
 import random
 import re
 
-from memloom.operators import orphans
+import pytest
+
+from memloom.operators import orphans, skew
 from memloom.operators.orphans import key_runs, orphan_references, parents
 
 ID = re.compile(r"D:?(\d+):(\d+)")
@@ -45,8 +47,12 @@ def run(spark, qa, turns, sessions):
     return {tuple(r) for r in got}
 
 
-def test_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("part_rows, hot_keys", [(100_000, 10_000), (7, 1)])
+def test_against_brute_force(spark, monkeypatch, part_rows, hot_keys):
+    """Also with half of the references on one key, split into parts."""
     monkeypatch.setattr(orphans, "BUCKET", 4)
+    monkeypatch.setattr(orphans, "PART_ROWS", part_rows)
+    monkeypatch.setattr(skew, "HOT_KEYS", hot_keys)
     r = random.Random(5)
     gone = lambda a: None if r.random() < 0.7 else a + r.randrange(0, 20)
     turns = []
@@ -58,9 +64,19 @@ def test_against_brute_force(spark, monkeypatch):
     turns += [t[:3] + (t[3] + dt.timedelta(days=9),) + t[4:] for t in turns[:40]]
     sessions = [(r.choice(["a", "b"]), r.randrange(5), day(a := r.randrange(60)), day(gone(a))) for _ in range(12)]
     qa = [(i, r.choice(["a", "b", None]), r.choice([None, [], [f"D{r.randrange(5)}:{r.randrange(14)}", None, "D3:007 D0:1"]]), day(r.randrange(80)), "s") for i in range(150)]
+    qa += [(1000 + i, "a", ["D1:1"], day(r.randrange(80)), "s") for i in range(150)]
     assert run(spark, qa, turns, sessions) == brute(qa, turns, sessions)
 
 
+@pytest.mark.parametrize("hot_keys", [1, 100])
+def test_hot_keys_join_like_any(spark, hot_keys):
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 5}" if i % 4 else None) for i in range(100)], "i int, k string")
+    sizes = rows.filter("k <> 'k1'").groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "upper(k) u")
+    plain = sorted(map(tuple, rows.join(sizes.drop("n"), "k", "left").select("i", "k", "u").collect()))
+    assert sorted(map(tuple, skew.hot_join(rows, sizes, ["k"], "n", "left", hot_keys=hot_keys).select("i", "k", "u").collect())) == plain
+    assert sorted(map(tuple, skew.hot_join(rows, sizes, ["k"], "n", hot_keys=hot_keys).select("i", "k", "u").collect())) == [r for r in plain if r[2]]
+
+
 def test_runs_are_contiguous(spark, monkeypatch):
     monkeypatch.setattr(orphans, "BUCKET", 8)
     turns = [(i, "a", f"D1:{m}", day(m), None, 0) for i, m in enumerate(itertools.chain(range(1, 6), range(9, 12), [10]))]
