@@ -86,15 +86,20 @@ def references(qa_items: DataFrame, turns: DataFrame) -> DataFrame:
     return to_turn.unionByName(to_session)
 
 
+def lives(rows: DataFrame) -> DataFrame:
+    """Rows of ``parents`` combined by key and arrival: the latest and the earliest removal of those that arrived at once."""
+    return rows.groupBy(*SPACE, "key", "ingested_at").agg(F.max("deleted_at").alias("deleted_at"), F.min("deleted_at").alias("first_deleted_at"))
+
+
 def key_runs(rows: DataFrame) -> DataFrame:
-    """Runs of contiguous keys: ``SPACE, bucket, run_start, run_end, seen_from, seen_all, mixed``.
+    """Runs of contiguous keys of ``lives``: ``SPACE, bucket, run_start, run_end, seen_from, seen_all, mixed``.
 
     ``seen_from`` is when the run's first row arrived, ``seen_all`` from when all its keys are there for good; a
     key with a removed row is a run by itself, with ``mixed`` set.
     """
     keys = rows.groupBy(*SPACE, "key").agg(
         F.min("ingested_at").alias("first"),
-        F.min("deleted_at").alias("gone"),
+        F.min("first_deleted_at").alias("gone"),
     )
     keys = keys.select(*SPACE, "key", _bucket(F.col("key")), "first", (F.col("gone") < F.expr(NEVER)).alias("mixed"))
     order = Window.partitionBy(*SPACE, "bucket").orderBy("key")
@@ -128,7 +133,7 @@ def _match_rows(refs: DataFrame, rows: DataFrame) -> DataFrame:
     """As-of match on time: whether some row of the key is there at ``t`` (the latest removal among rows arrived by then)."""
     key = [*SPACE, "key"]
     wanted = refs.groupBy(*key).agg(F.count("*").alias("n"), F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-    rows = rows.groupBy(*key, "ingested_at").agg(F.max("deleted_at").alias("deleted_at")).join(wanted.select(*key, "parts"), key)
+    rows = rows.join(wanted.select(*key, "parts"), key)
     part = F.pmod(F.xxhash64("row_id", "dia_id"), F.col("parts")).cast("int").alias("part")
     left = rows.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("ingested_at").alias("at"), F.lit(0).alias("side"), "deleted_at", F.lit(None).alias("ref"))
     right = hot_join(refs, wanted, key, "n").select(*key, part, F.col("t").alias("at"), F.lit(1).alias("side"), F.lit(None).alias("deleted_at"), F.struct("src_table", "row_id", "dia_id", "t").alias("ref"))
@@ -149,7 +154,7 @@ def orphan_references(qa_items: DataFrame, turns: DataFrame, sessions: DataFrame
     * Rows of one record delivered again count once, at their earliest arrival; extra columns are not read.
     """
     rows, refs = parents(turns, sessions), references(qa_items, turns)
-    refs = materialize(refs, "references")
+    refs, rows = materialize(refs, "references"), materialize(lives(rows), "lives")
     nobody = refs.filter(F.col("conv_id").isNull())
     verdicts = materialize(key_verdicts(refs.filter(F.col("conv_id").isNotNull()), key_runs(rows)), "verdicts")
     matched = hot_join(refs.filter(F.col("conv_id").isNotNull()), verdicts, [*SPACE, "key"], "n_refs")

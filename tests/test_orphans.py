@@ -6,7 +6,7 @@ import re
 import pytest
 
 from memloom.operators import orphans, skew
-from memloom.operators.orphans import key_runs, orphan_references, parents
+from memloom.operators.orphans import key_runs, lives, orphan_references, parents
 
 ID = re.compile(r"D:?(\d+):(\d+)")
 QA = "qid bigint, conv_id string, evidence_dia_ids array<string>, ingested_at timestamp, status string"
@@ -82,7 +82,7 @@ def test_runs_are_contiguous(spark, monkeypatch):
     turns = [(i, "a", f"D1:{m}", day(m), None, 0) for i, m in enumerate(itertools.chain(range(1, 6), range(9, 12), [10]))]
     turns.append((99, "a", "D1:3", day(1), day(2), 0))
     rows = parents(spark.createDataFrame(turns, TURN), spark.createDataFrame([], SESSION))
-    got = sorted((r.run_start, r.run_end, r.mixed) for r in key_runs(rows).collect())
+    got = sorted((r.run_start, r.run_end, r.mixed) for r in key_runs(lives(rows)).collect())
     assert got == [(1, 2, False), (3, 3, True), (4, 5, False), (9, 11, False)]
 
 
