@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.operators.nested import NODE_COLUMNS, shred
+from memloom.operators.nested import NODE_COLUMNS, node_fields, shred
 from memloom.operators.orphans import orphan_references, orphan_report
 from memloom.sources.tables import table
 
@@ -13,6 +13,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred(table(spark, sf_dir, "locomo10")).select(*NODE_COLUMNS)
 
 
+def p2_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_fields(shred(table(spark, sf_dir, "locomo10"), fields=True))
+
+
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_references(table(spark, sf_dir, "qa_items"), table(spark, sf_dir, "turns"), table(spark, sf_dir, "sessions"))
 
@@ -25,7 +29,7 @@ def p4_orphan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(_orphans(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_orphan_report": p4_orphan_report}
+QUERIES = {"p2_found": p2_found, "p2_fields": p2_fields, "p4_found": p4_found, "p4_orphan_report": p4_orphan_report}
 
 _P4 = r"""
 with qa as (
@@ -69,7 +73,7 @@ def _listed(v: str) -> str:
     return f"case when {v} is null or json_type({v}) = 'NULL' then []::json[] when json_type({v}) = 'ARRAY' then {v}::json[] else [{v}] end"
 
 
-_P2 = f"""
+_P2_PARTS = f"""
 with k as (select record_id, c, unnest(json_keys(c)) sid from {_document('conversation')} where json_type(c) = 'OBJECT'),
 s as (select record_id, sid, json_extract(c, '$."' || sid || '"') v from k where regexp_full_match(sid, 'session_[0-9]+')),
 s1 as (select * from s where json_type(v) <> 'NULL'),
@@ -80,15 +84,34 @@ q as (select record_id, unnest({_listed('c')}) q, unnest(range(len({_listed('c')
 q1 as (select *, {_listed("json_extract(q, '$.evidence')")} entries from q where json_type(q) <> 'NULL'),
 e as (select record_id, i, flatten(list_transform(entries, lambda x: regexp_extract_all(coalesce(json_extract_string(x, '$'), ''), 'D:?(\\d+):(\\d+)'))) ids from q1),
 e1 as (select record_id, i, unnest(ids) id, unnest(range(len(ids))) j from e)
+"""
+
+_P2 = _P2_PARTS + r"""
 select record_id, 'session' node_kind, 'conversation/' || sid node_path, 'conversation' parent_path, sid node_key from s1
 union all select record_id, 'turn', 'conversation/' || sid || '/' || i, 'conversation/' || sid, coalesce(json_extract_string(t, '$.dia_id'), '') from t1
 union all select record_id, 'image', 'conversation/' || sid || '/' || i || '/img_url/' || j, 'conversation/' || sid || '/' || i, json_extract_string(url, '$') from u where json_type(url) <> 'NULL'
 union all select record_id, 'qa', 'qa/' || i, 'qa', coalesce(json_extract_string(q, '$.category'), '') from q1
-union all select record_id, 'evidence', 'qa/' || i || '/evidence/' || j, 'qa/' || i, 'D' || regexp_extract(id, 'D:?(\\d+):(\\d+)', 1)::bigint || ':' || regexp_extract(id, 'D:?(\\d+):(\\d+)', 2)::bigint from e1
+union all select record_id, 'evidence', 'qa/' || i || '/evidence/' || j, 'qa/' || i, 'D' || regexp_extract(id, 'D:?(\d+):(\d+)', 1)::bigint || ':' || regexp_extract(id, 'D:?(\d+):(\d+)', 2)::bigint from e1
+"""
+
+_P2_FIELDS = _P2_PARTS + r""",
+o as (select distinct record_id, 'conversation' node_kind, 'conversation' node_path, c o, 'c' w from k
+  union all select record_id, 'turn', 'conversation/' || sid || '/' || i, t, 't' from t1 where json_type(t) = 'OBJECT'
+  union all select record_id, 'qa', 'qa/' || i, q, 'q' from q1 where json_type(q) = 'OBJECT'),
+f as (select record_id, node_kind, node_path, o, unnest(json_keys(o)) field from o),
+named as (
+  select record_id, node_kind, node_path, field, json_extract(o, '$."' || field || '"') v from f
+  where not (node_kind = 'conversation' and regexp_full_match(field, 'session_[0-9]+(_.*)?')) and field not in ('img_url', 'evidence')
+  union all
+  select s1.record_id, 'session', 'conversation/' || s1.sid, substr(x.sid, length(s1.sid) + 2), json_extract(x.c, '$."' || x.sid || '"')
+  from s1 join k x on x.record_id = s1.record_id and starts_with(x.sid, s1.sid || '_')
+)
+select record_id, node_kind, node_path, field, json_extract_string(v, '$') as value from named where json_type(v) not in ('NULL', 'OBJECT', 'ARRAY')
 """
 
 ORACLES = {
     "p2_found": _P2,
+    "p2_fields": _P2_FIELDS,
     "p4_found": _P4 + "select * from judged where status <> 'there'",
     "p4_orphan_report": _P4 + "select src_table, period_month, status, count(*) n_orphans from judged where status <> 'there' group by all",
 }

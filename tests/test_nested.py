@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.operators.nested import NODE_COLUMNS, flat_tables, shred
+from memloom.operators.nested import NODE_COLUMNS, flat_tables, shred, unreadable
 
 
 def nodes(spark, rows):
@@ -41,9 +41,31 @@ def test_every_child_has_its_parent(spark, data):
     own = df.select("record_id", F.col("node_path").alias("parent_path"))
     roots = F.col("parent_path").isin("conversation", "qa")
     assert df.filter(~roots).join(own, ["record_id", "parent_path"], "left_anti").count() == 0
-    tables = flat_tables(df)
-    assert set(tables) == {"session", "turn", "image", "qa", "evidence"}
+    with_fields = shred(spark.read.parquet(f"{data}/locomo10.parquet"), fields=True)
+    tables = flat_tables(with_fields)
+    assert set(tables) == {"conversation", "session", "turn", "image", "qa", "evidence"}
     assert tables["turn"].filter("text is not null").count() > 0
+    assert with_fields.filter("node_kind <> 'conversation'").count() == df.count()
+
+
+def test_tables_have_every_field_and_null_kinds_never_come(spark):
+    talk = {"speaker_a": "A", "place": {"x": 1}, "session_2": [{"dia_id": "D2:1", "text": "hi", "mood": 3, "tags": [1, "b"], "node_key": "clash", "none": None}], "session_2_date_time": "May", "session_12_date_time": "June", "session_1_x": "no session"}
+    rows = [(1, json.dumps(talk), json.dumps([{"question": "q", "answer": 2020, "evidence": ["D2:1"]}, "text"])), (2, None, None)]
+    found = shred(spark.createDataFrame(rows, "record_id bigint, conversation string, qa string"), fields=True)
+    assert found.filter("node_kind is null").count() == 0
+    t = {k: [r.asDict() for r in v.collect()] for k, v in flat_tables(found).items()}
+    assert [(r["speaker_a"], json.loads(r["place"]), r["parent_path"]) for r in t["conversation"]] == [("A", {"x": 1}, "")] and "session_1_x" not in t["conversation"][0]
+    assert [(r["node_key"], r["date_time"]) for r in t["session"]] == [("session_2", "May")]
+    turn = t["turn"][0]
+    assert (turn["text"], turn["mood"], json.loads(turn["tags"]), turn["field_node_key"], turn["node_key"]) == ("hi", "3", [1, "b"], "clash", "D2:1") and "none" not in turn
+    assert [(r["question"], r["answer"], r["ordinal"]) for r in t["qa"]] == [("q", "2020", 0), (None, None, 1)]
+    assert [(r["node_key"], r["parent_path"]) for r in t["evidence"]] == [("D2:1", "qa/0")]
+
+
+def test_unreadable_texts_are_listed(spark):
+    rows = [(1, "{}", "[]"), (2, "no json", None), (3, "", '[{"a": 1}'), (4, json.dumps({"session_1": [{"text": "x" * 17_000_000}]}), "[]")]
+    got = {(r.record_id, r.column) for r in unreadable(spark.createDataFrame(rows, "record_id bigint, conversation string, qa string")).collect()}
+    assert {(2, "conversation"), (3, "qa")} <= got <= {(2, "conversation"), (3, "qa"), (4, "conversation")}
 
 
 def test_empty_table(spark):
