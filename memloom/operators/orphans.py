@@ -132,11 +132,11 @@ def key_verdicts(refs: DataFrame, runs: DataFrame) -> DataFrame:
 def _match_rows(refs: DataFrame, rows: DataFrame) -> DataFrame:
     """As-of match on time: whether some row of the key is there at ``t`` (the latest removal among rows arrived by then)."""
     key = [*SPACE, "key"]
-    wanted = refs.groupBy(*key).agg(F.count("*").alias("n"), F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    wanted = materialize(refs.groupBy(*key).agg(F.count("*").alias("n"), F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "asked")
     rows = rows.join(wanted.select(*key, "parts"), key)
     part = F.pmod(F.xxhash64("row_id", "dia_id"), F.col("parts")).cast("int").alias("part")
     left = rows.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("ingested_at").alias("at"), F.lit(0).alias("side"), "deleted_at", F.lit(None).alias("ref"))
-    right = hot_join(refs, wanted, key, "n").select(*key, part, F.col("t").alias("at"), F.lit(1).alias("side"), F.lit(None).alias("deleted_at"), F.struct("src_table", "row_id", "dia_id", "t").alias("ref"))
+    right = hot_join(refs, wanted, key, "n", stored=True).select(*key, part, F.col("t").alias("at"), F.lit(1).alias("side"), F.lit(None).alias("deleted_at"), F.struct("src_table", "row_id", "dia_id", "t").alias("ref"))
     order = Window.partitionBy(*key, "part").orderBy(F.col("at").asc_nulls_first(), "side").rowsBetween(Window.unboundedPreceding, 0)
     matched = left.unionByName(right).withColumn("until", F.max("deleted_at").over(order)).filter("side = 1").select("ref.*", "until")
     status = F.when(F.col("until").isNull(), "late").when(F.col("until") > F.col("t"), None).otherwise("deleted")
@@ -157,7 +157,7 @@ def orphan_references(qa_items: DataFrame, turns: DataFrame, sessions: DataFrame
     refs, rows = materialize(refs, "references"), materialize(lives(rows), "lives")
     nobody = refs.filter(F.col("conv_id").isNull())
     verdicts = materialize(key_verdicts(refs.filter(F.col("conv_id").isNotNull()), key_runs(rows)), "verdicts")
-    matched = hot_join(refs.filter(F.col("conv_id").isNotNull()), verdicts, [*SPACE, "key"], "n_refs")
+    matched = hot_join(refs.filter(F.col("conv_id").isNotNull()), verdicts, [*SPACE, "key"], "n_refs", stored=True)
     matched = matched.unionByName(nobody, allowMissingColumns=True)
     beyond = F.col("run").isNull() | (F.col("key") > F.col("run.run_end"))
     early = F.col("t").isNull() | (F.col("t") < F.col("run.seen_from"))

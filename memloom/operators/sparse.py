@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import tokens
+from memloom.workspace import materialize
 
 SCOPE = ["extractor", "conv_id"]
 MEMORY = [*SCOPE, "mem_idx"]
@@ -19,9 +20,18 @@ K1, B = 1.5, 0.75
 TOP_K = 5
 
 
+def tokenized(memories: DataFrame) -> DataFrame:
+    """Memories with their terms ``t`` instead of their text, written once for the several statistics that read them."""
+    return materialize(memories.select(*MEMORY, tokens(F.col("text")).alias("t")), "tokens")
+
+
+def _terms(memories: DataFrame) -> Column:
+    return F.col("t") if "t" in memories.columns and "text" not in memories.columns else tokens(F.col("text"))
+
+
 def term_freq(memories: DataFrame) -> DataFrame:
     """``extractor, conv_id, mem_idx, n_terms, term, tf`` of every memory; memories without a term have no row."""
-    found = memories.select(*MEMORY, tokens(F.col("text")).alias("t")).select(*MEMORY, F.size("t").alias("n_terms"), F.explode("t").alias("term"))
+    found = memories.select(*MEMORY, _terms(memories).alias("t")).select(*MEMORY, F.size("t").alias("n_terms"), F.explode("t").alias("term"))
     return found.groupBy(*MEMORY, "n_terms", "term").agg(F.count("*").alias("tf"))
 
 
@@ -31,7 +41,7 @@ def doc_freq(postings: DataFrame) -> DataFrame:
 
 def doc_stats(memories: DataFrame) -> DataFrame:
     """``n_docs, avg_len`` of each scope; memories without terms count in both."""
-    return memories.select(*SCOPE, F.size(tokens(F.col("text"))).alias("n")).groupBy(*SCOPE).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
+    return memories.select(*SCOPE, F.size(_terms(memories)).alias("n")).groupBy(*SCOPE).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
 
 
 def idf_smooth(n_docs: Column, df: Column) -> Column:
@@ -64,19 +74,23 @@ def top_k(scored: DataFrame, k: int, *, group: list[str], tie: str = "mem_idx")
 
 def tfidf_scores(memories: DataFrame, questions: DataFrame) -> DataFrame:
     """Cosine of TF-IDF vectors, for the memories that share a known term with the question."""
+    memories = tokenized(memories)
     postings, stats = term_freq(memories), doc_stats(memories)
     idf = doc_freq(postings).join(stats, SCOPE).select(*SCOPE, "term", idf_smooth(F.col("n_docs"), F.col("df")).alias("idf"))
-    weights = postings.join(idf, [*SCOPE, "term"]).select(*MEMORY, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    # Read by the norms and by the products.
+    weights = materialize(postings.join(idf, [*SCOPE, "term"]).select(*MEMORY, "term", "idf", (F.col("tf") * F.col("idf")).alias("w")), "weights")
+    idf = weights.groupBy(*SCOPE, "term").agg(F.first("idf").alias("idf"))
     norms = weights.groupBy(*MEMORY).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("m_norm"))
     asked = question_terms(questions).join(idf, ["conv_id", "term"]).select("qid", *SCOPE, "term", (F.col("qtf") * F.col("idf")).alias("qw"))
     q_norms = asked.groupBy("qid", "extractor").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    dots = asked.join(weights, [*SCOPE, "term"]).groupBy("qid", *MEMORY).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    dots = asked.join(weights.drop("idf"), [*SCOPE, "term"]).groupBy("qid", *MEMORY).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     scored = dots.join(norms, MEMORY).join(q_norms, ["qid", "extractor"])
     return scored.select("qid", *MEMORY, (F.col("dot") / (F.col("q_norm") * F.col("m_norm"))).alias("score")).filter("score > 0")
 
 
 def bm25_scores(memories: DataFrame, questions: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 with the always-positive IDF; a term that a question repeats counts as often."""
+    memories = tokenized(memories)
     postings, stats = term_freq(memories), doc_stats(memories)
     idf = doc_freq(postings).join(stats, SCOPE).select(*SCOPE, "term", "avg_len", idf_bm25(F.col("n_docs"), F.col("df")).alias("idf"))
     asked = question_terms(questions).join(idf, ["conv_id", "term"])
