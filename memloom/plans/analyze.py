@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memloom.plans.grid import BASELINE
 from memloom.plans.report import CATEGORY_NAMES, markdown_table
+from memloom.workspace import materialize
 
 # The order in which extractors and retrievers are shown; others follow by name.
 EXTRACTOR_ORDER = ["append_all", "regex", "regex_v2", "ner"]
@@ -28,9 +29,16 @@ def overall(summary: DataFrame, config: str = "config") -> DataFrame:
 
 
 def matrix_pivot(summary: DataFrame, retrievers: list[str] | None = None, *, config: str = "config", metric: str = "qa_accuracy") -> DataFrame:
-    """Extractor by retriever; a missing configuration is null.  The columns are given, so no extra job finds them."""
-    columns = retrievers or RETRIEVER_ORDER
-    return overall(summary, config).filter(F.col("combo") != BASELINE).groupBy("extractor").pivot("retriever", columns).agg(F.first(metric))
+    """Extractor by retriever; a missing configuration is null.
+
+    Without ``retrievers`` every one in the summary gets a column, the known ones first.  The overall rows (one for each
+    configuration) are written once, so that finding the names costs no second pass over the predictions.
+    """
+    cells = overall(summary, config).filter(F.col("combo") != BASELINE).select("extractor", "retriever", metric)
+    if retrievers is None:
+        cells = materialize(cells, "cells")
+        retrievers = present([r.retriever for r in cells.select("retriever").distinct().collect()], RETRIEVER_ORDER)
+    return cells.groupBy("extractor").pivot("retriever", retrievers).agg(F.first(metric))
 
 
 def category_pivot(summary: DataFrame, *, config: str = "config", metric: str = "qa_accuracy") -> DataFrame:
@@ -71,6 +79,23 @@ def _share(x: float | None) -> str:
     return "--" if x is None else f"{100 * x:.1f}"
 
 
+# Wording and frame of the tables.
+MAIN_HEAD, MAIN_FOOT = "Extractor \\ Retriever", "Cells are QA accuracy (%) judged by the LLM judge."
+CATEGORY_FOOT = "Per-category QA accuracy (%)."
+ABLATION_FOOT = "Delta is percentage points (v2 minus v1; tfidf minus uniform)."
+ABLATIONS = {
+    "regex_v1_v2": ("## Regex rules: v1 vs v2", ["Retriever", "v1", "v2", "delta"]),
+    "word2vec_pooling": ("## Word2vec pooling: uniform vs tfidf", ["Extractor", "uniform", "tfidf", "delta"]),
+}
+LATEX_CAPTION = r"\caption{QA accuracy (\%%) for each extractor $\times$ retriever combination. No-memory baseline: %s\%%.}"
+
+
+def _latex(head: list[str], body: list[list[str]], baseline: str) -> str:
+    line = lambda cells: " & ".join(c.replace("_", r"\_") for c in cells) + r" \\"
+    frame = [r"\begin{table}[t]", r"\centering", LATEX_CAPTION % baseline, r"\label{tab:main}", rf"\begin{{tabular}}{{l{'r' * (len(head) - 1)}}}", r"\toprule", line(head), r"\midrule"]
+    return "\n".join([*frame, *map(line, body), r"\bottomrule", r"\end{tabular}", r"\end{table}"])
+
+
 def main_tables(summary: DataFrame, config: str = "config") -> dict[str, str]:
     """Text of the figure tables: ``table_main.md``, ``table_main.tex``, ``table_by_category.md``, ``ablations.md``."""
     rows = [r.asDict() for r in overall(summary, config).collect()]
@@ -79,26 +104,34 @@ def main_tables(summary: DataFrame, config: str = "config") -> dict[str, str]:
     extractors = present([r["extractor"] for r in real], EXTRACTOR_ORDER)
     retrievers = present([r["retriever"] for r in real], RETRIEVER_ORDER)
     body = [[e, *[_share(acc.get(f"{e}+{r}")) for r in retrievers]] for e in extractors]
-    baseline = f"\n\nBaseline ({BASELINE}): {_share(acc[BASELINE])}" if BASELINE in acc else ""
-    tex_rows = [" & ".join([c.replace("_", r"\_") for c in line]) + r" \\" for line in [["extractor", *retrievers], *body]]
-    tex = "\n".join([r"\begin{tabular}{l" + "r" * len(retrievers) + "}", *tex_rows, r"\end{tabular}"])
+    main = [markdown_table([MAIN_HEAD, *retrievers], body), ""]
+    if BASELINE in acc:
+        main.append(f"Baseline (no memory): {_share(acc[BASELINE])}")
     by = {(r[config], r["category"]): r["qa_accuracy"] for r in (x.asDict() for x in summary.filter("level = 'category'").collect())}
     order = ([BASELINE] if BASELINE in acc else []) + [f"{e}+{r}" for e in extractors for r in retrievers if f"{e}+{r}" in acc]
     category = [[c, *[_share(by.get((c, k))) for k in CATEGORY_NAMES]] for c in order]
     deltas = [r.asDict() for r in ablation_deltas(summary, config=config).collect()]
-    titles = {"regex_v1_v2": "Regex rules: v1 vs v2", "word2vec_pooling": "Word2vec pooling: uniform vs tfidf"}
-    ablations = "\n\n".join(
-        f"## {title}\n\n" + markdown_table(["Setting", "First", "Second", "Delta (pp)"], [[d["setting"], _share(d["first_value"]), _share(d["second_value"]), f"{100 * d['delta']:+.1f}"] for d in sorted((d for d in deltas if d["ablation"] == key), key=lambda d: d["setting"])])
-        for key, title in titles.items()
-    )
+    shown = {"regex_v1_v2": (retrievers, {"regex", "regex_v2"} <= set(extractors)), "word2vec_pooling": (extractors, {"word2vec", "word2vec_tfidf"} <= set(retrievers))}
+    ablations: list[str] = []
+    for key, (title, head) in ABLATIONS.items():
+        settings, both = shown[key]
+        if both:
+            found = {d["setting"]: [_share(d["first_value"]), _share(d["second_value"]), f"{100 * d['delta']:+.1f}"] for d in deltas if d["ablation"] == key}
+            ablations += [title, "", markdown_table(head, [[x, *found[x]] for x in settings if x in found]), ""]
     return {
-        "table_main.md": markdown_table(["Extractor", *retrievers], body) + baseline + "\n",
-        "table_main.tex": tex + "\n",
-        "table_by_category.md": markdown_table(["Method", *CATEGORY_NAMES.values()], category) + "\n",
-        "ablations.md": ablations + "\n",
+        "table_main.md": "\n".join([*main, "", MAIN_FOOT]),
+        "table_main.tex": _latex(["Extractor", *retrievers], body, _share(acc.get(BASELINE))),
+        "table_by_category.md": "\n".join([markdown_table(["Combo", *CATEGORY_NAMES.values()], category), "", CATEGORY_FOOT]),
+        "ablations.md": "\n".join([*ablations, ABLATION_FOOT]),
     }
 
 
+def by_category(summary: DataFrame, *, config: str = "config") -> DataFrame:
+    """Accuracy by category of each extractor with its best retriever."""
+    best = best_retriever(summary, config=config).select(F.concat_ws("+", "extractor", "retriever").alias("combo"), "extractor", "retriever")
+    return best.join(category_pivot(summary, config=config), "combo")
+
+
 def generate(summary: DataFrame, output_dir: str | Path, config: str = "config") -> list[Path]:
     """Writes the tables, and the data of the figures as CSV (plotting itself is left to other tools)."""
     out = Path(output_dir)
@@ -107,7 +140,7 @@ def generate(summary: DataFrame, output_dir: str | Path, config: str = "config")
     for name, text in main_tables(summary, config).items():
         (out / name).write_text(text, encoding="utf-8")
         made.append(out / name)
-    for name, df in (("heatmap", matrix_pivot(summary, config=config)), ("by_category", category_pivot(summary, config=config)), ("retrieval_vs_answer", scatter(summary, config=config))):
+    for name, df in (("matrix_accuracy", matrix_pivot(summary, config=config)), ("by_category", by_category(summary, config=config)), ("retrieval_vs_answer", scatter(summary, config=config))):
         df.toPandas().to_csv(out / f"{name}.csv", index=False)
         made.append(out / f"{name}.csv")
     return made

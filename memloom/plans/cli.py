@@ -9,7 +9,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from memloom.plans import analyze, grid, pipeline, report
+from memloom.operators.answer import ContainsGold, FirstContext, ModelJudge, ModelReader
+from memloom.operators.extract import spacy_tagger
+from memloom.plans import analyze, grid, pipeline, registry, report
+from memloom.sources import models
 from memloom.sources.locomo import dataset_counts, load_qa, load_turns, read_samples
 from memloom.sources.summaries import latest_run, load_runs
 
@@ -28,6 +31,10 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--batch-size", type=int, default=16)
     run.add_argument("--combos", default=None)
     run.add_argument("--results", default="results")
+    run.add_argument("--word-vectors", default=None, help="text file of word vectors (default: the model of W2V_MODEL, if gensim is installed)")
+    run.add_argument("--reader", choices=("stub", "model"), default="stub", help="model: the local model of READER_MODEL")
+    run.add_argument("--judge", choices=("stub", "model"), default="stub", help="model: the local model of JUDGE_MODEL")
+    run.add_argument("--tagger", choices=("rules", "spacy"), default="rules", help="spacy: the model of NER_MODEL")
     look = sub.add_parser("analyze", help="tables of a run")
     look.add_argument("run_dir", nargs="?")
     look.add_argument("--results", default="results")
@@ -36,6 +43,37 @@ def _parser() -> argparse.ArgumentParser:
     return ap
 
 
+def _resources(spark: SparkSession, args: argparse.Namespace) -> registry.Resources:
+    """What is installed or given for the dense retrievers and the tagger."""
+    found = registry.Resources()
+    if args.word_vectors:
+        found.vectors = models.read_word_vectors(spark, args.word_vectors)
+    elif models.installed("gensim") is None:
+        try:
+            found.vectors = models.gensim_vectors(spark)
+        except Exception as e:  # noqa: BLE001  no network, no such model: the retrievers are skipped with this reason
+            print(f"word vectors unavailable: {type(e).__name__}: {e}")
+    if models.installed("sentence_transformers") is None:
+        names = {"sentence_emb": models.model_name("SENT_MODEL"), "sentence_emb_e5": models.E5_MODEL}
+        found.encoders = {retriever: (name, models.sentence_encoder(name)) for retriever, name in names.items()}
+    if args.tagger == "spacy":
+        found.tagger = spacy_tagger(models.model_name("NER_MODEL"))
+    return found
+
+
+def _model(kind: str, choice: str, make, stub):
+    """The chosen reader or judge; a run always says which one it is."""
+    if choice == "stub":
+        print(f"{kind}: stub (no model)")
+        return stub()
+    lacking = models.installed("torch", "transformers")
+    if lacking:
+        raise SystemExit(f"{kind} unavailable: {lacking} is not installed")
+    name = models.model_name(f"{kind.upper()}_MODEL")
+    print(f"{kind}: {name}")
+    return make(name)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("memloom").getOrCreate()
@@ -56,9 +94,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     turns = load_turns(samples).withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy("session_no", "turn_no")))
     numbered = load_qa(samples).withColumn("qid", F.xxhash64("conv_id", "qa_pos"))
     variants = ("base",) if args.base_only else ("timestamp",) if args.timestamp else grid.VARIANTS
-    able = {"no_retrieval", "tfidf", "bm25"}
-    entries = [e for e in grid.plan(variants, args.combos) if e.retriever in able]
-    scored = pipeline.scored_predictions(pipeline.run_grid(turns, numbered, entries))
+    reader = _model("reader", args.reader, ModelReader, FirstContext)
+    judge = _model("judge", args.judge, ModelJudge, ContainsGold)
+    resources = _resources(spark, args)
+    entries, skipped = registry.runnable(grid.plan(variants, args.combos), resources)
+    for entry, why in skipped:
+        print(f"[skip] {entry.variant}:{entry.combo}: {why}")
+    if not entries:
+        print("nothing to score")
+        return
+    scored = pipeline.scored_predictions(pipeline.run_grid(turns, numbered, entries, resources=resources, reader=reader, judge=judge))
     out = Path(args.results) / (args.name or datetime.now().strftime("%Y%m%d-%H%M%S"))
     for variant in variants:
         own = scored.filter(F.col("variant") == variant)

@@ -107,9 +107,10 @@ def write_reports(rows: list[dict], output_dir: str | Path, k: int) -> None:
     (out / "report.md").write_text(render_markdown(rows, k), encoding="utf-8")
 
 
-def question_records(scored: DataFrame) -> DataFrame:
-    """Per-question records of a run, with the columns of the JSON Lines sink."""
+def question_records(scored: DataFrame, *more: str) -> DataFrame:
+    """Per-question records of a run, with the columns of the JSON Lines sink (and further ones, if named)."""
     return scored.select(
+        *more,
         "config",
         "conv_id",
         "category",

@@ -9,11 +9,11 @@ from memloom.functions import text as T
 from memloom.functions.ids import evidence_ids
 from memloom.functions.patterns import GROUPS
 from memloom.operators import dense, extract, sparse
-from memloom.operators.answer import context_budget, contexts
+from memloom.operators.answer import context_budget, contexts, judge_prompt, reader_prompt, verdict
 from memloom.operators.metrics import ANSWER_METRICS, EVIDENCE_METRICS, scored_predictions, summary, summary_by_category, summary_overall
 from memloom.operators.extract import memory_text
 from memloom.operators.records import first_delivery
-from memloom.plans import analyze, grid
+from memloom.plans import analyze, grid, registry, report
 from memloom.plans import pipeline as pl
 from memloom.sources import locomo
 from memloom.sources.tables import table
@@ -402,6 +402,63 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.vector_search(e.filter("vec_id % 50 = 0"), e).withColumn("score", F.round("score", 6))
 
 
+_SENT = (
+    f"{_MEM}, {_QA}, tx as (select 'm' side, extractor, conv_id, mem_idx id, lower('@passage' || coalesce(text, '')) s from m union all select 'q', '', conv_id, qid, lower('@query' || coalesce(question, '')) from q), "
+    f"tw as (select side, extractor, conv_id, id, unnest(regexp_extract_all(s, '{_W}+')) w from tx), tc as (select side, extractor, conv_id, id, w, count(*) n from tw group by all), "
+    "dg as (select w, i dim, (('0x' || substr(md5('@model ' || w), 2 * i + 1, 2))::int - 127.5) / 127.5 x from (select distinct w from tc), range(8) r(i)), "
+    "pv as (select side, extractor, conv_id, id, dim, sum(n * x) / sum(n) x from tc join dg using (w) group by all), "
+    "av as (select side, extractor, conv_id, id, dim, coalesce(x, 0.0) x from tx cross join range(8) r(dim) left join pv using (side, extractor, conv_id, id, dim)), "
+    "sc as (select a.id qid, b.extractor, b.conv_id, b.id mem_idx, sum(a.x * b.x) score from av a join av b on a.conv_id = b.conv_id and a.dim = b.dim where a.side = 'q' and b.side = 'm' group by all), "
+    f"top as (select * from (select *, {_RANK} \"rank\" from sc) where \"rank\" <= 5)"
+)
+
+
+def _sent_sql(model: str, query: str, passage: str) -> str:
+    return f"with {_SENT.replace('@model', model).replace('@query', query).replace('@passage', passage)} {_RANKED}"
+
+
+@query(_sent_sql("plain-stand-in", "", ""))
+def sentence_emb_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval by a sentence encoder (a stand-in derived from digests), without prefixes."""
+    return _ranked(dense.sentence_topk(memories(spark, d), questions(spark, d), digest_encoder("plain-stand-in"), model_name="plain-stand-in"))
+
+
+@query(_sent_sql("e5-stand-in", "query: ", "passage: "))
+def sentence_emb_e5_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the prefixes of the encoder's family."""
+    return _ranked(dense.sentence_topk(memories(spark, d), questions(spark, d), digest_encoder("e5-stand-in"), model_name="e5-stand-in"))
+
+
+@query(f"with {_QA}, {_MEM} select qid, extractor, mem_idx, 0 \"rank\", 0.0::double score from q, m where false")
+def no_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(sparse.no_retrieval(questions(spark, d)))
+
+
+@query(f"with {_MEM}, {_QA}, sc as (select qid, extractor, conv_id, mem_idx, len(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(question, '')), '{_W}+')), list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{_W}+'))))::double score from q join m using (conv_id)), "
+       f"top as (select * from (select *, {_RANK} \"rank\" from sc where score > 0) where \"rank\" <= 5) {_RANKED}")
+def custom_retriever(spark: SparkSession, d: str) -> DataFrame:
+    """A retriever added by a user as a Python function of blocks: the number of shared words."""
+    return _ranked(registry.per_block(_shared_words)(memories(spark, d), questions(spark, d), 5, registry.Resources()))
+
+
+def _shared_words(asked, held):
+    import re
+
+    words = lambda texts: [set(re.findall(r"\w+", (t or "").lower())) for t in texts]
+    own = words(held["text"])
+    return [[len(q & m) for m in own] for q in words(asked["question"])]
+
+
+@query(f"with {_TURNS}, u as (select conv_id, pos, dia_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\n')) line from t) select conv_id, {_NUMBER.replace(', speaker nulls first', '').replace('text nulls first', 'line nulls first')} mem_idx, line \"text\", coalesce(dia_id, '') source from u where trim(line) <> ''")
+def custom_extractor(spark: SparkSession, d: str) -> DataFrame:
+    """An extractor added by a user as a Python function of batches of turns: each line is a memory."""
+    return _shown(registry.per_turn(_lines)(turns(spark, d)))
+
+
+def _lines(batch):
+    return [[line for line in (text or "").split("\n") if line.strip(" ")] for text in batch["text"]]
+
+
 # ---------------------------------------------------------------- answering
 
 
@@ -427,10 +484,10 @@ def context_budget_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _READ = (
-    f"{_BUDGET}, ex as (select distinct extractor from m), ctx as (select qid, extractor, string_agg(coalesce(text, ''), chr(10) order by \"rank\") context from run where used <= 1500 group by all), "
-    "got as (select qid, extractor, count(*) n_memories from tx group by all), rd as (select q.qid, ex.extractor || '+bm25' config, q.conv_id, q.category, q.gold_answer, "
-    "case when coalesce(split_part(context, chr(10), 1), '') = '' then 'no context' else split_part(context, chr(10), 1) end answer_text, coalesce(n_memories, 0) n_memories "
-    "from q cross join ex left join ctx on ctx.qid = q.qid and ctx.extractor = ex.extractor left join got on got.qid = q.qid and got.extractor = ex.extractor)"
+    f"{_BUDGET}, ex as (select distinct extractor from m), "
+    "got as (select qid, extractor, count(*) n_memories, arg_min(coalesce(text, ''), \"rank\") first_text from tx group by all), rd as (select q.qid, ex.extractor || '+bm25' config, q.conv_id, q.category, q.gold_answer, "
+    "case when n_memories is null then 'no context' else first_text end answer_text, coalesce(n_memories, 0) n_memories "
+    "from q cross join ex left join got on got.qid = q.qid and got.extractor = ex.extractor)"
 )
 
 
@@ -451,6 +508,44 @@ def judge_predictions(spark: SparkSession, d: str) -> DataFrame:
     return pl.judge_predictions(_records(spark, d)).select("qid", "config", "judge_score", "judge_label")
 
 
+@query(
+    f"with {_BUDGET}, ctx as (select qid, extractor, string_agg(coalesce(text, ''), chr(10) order by \"rank\") context from run where used <= 1500 group by all), ex as (select distinct extractor from m) "
+    "select q.qid, ex.extractor, 'Context:' || chr(10) || coalesce(nullif(context, ''), 'no context') || chr(10) || chr(10) || 'Question: ' || coalesce(question, '') prompt "
+    "from q cross join ex left join ctx on ctx.qid = q.qid and ctx.extractor = ex.extractor"
+)
+def reader_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What a model reader is given for each question and extractor."""
+    found = contexts(_found(spark, d), group=["qid", "extractor"])
+    asked = questions(spark, d).select("qid", "question", F.explode(F.array(*[F.lit(e) for e in ("append_all", "regex", "regex_v2", "ner")])).alias("extractor"))
+    return asked.join(found, ["qid", "extractor"], "left").select("qid", "extractor", reader_prompt(F.col("question"), F.col("context")).alias("prompt"))
+
+
+@query(
+    f"with {_QA}, p as (select * exclude (rn) from (select *, row_number() over (partition by pred_id order by predicted_at) rn from predictions) where rn = 1) "
+    "select pred_id, 'You grade a question-answering system. Decide whether the predicted answer means the same as the gold answer. Reply with exactly one word: yes or no.' || chr(10) || chr(10) || 'Question: ' || coalesce(question, '') "
+    "|| chr(10) || 'Gold answer: ' || coalesce(gold_answer, '') || chr(10) || 'Predicted answer: ' || coalesce(answer_text, '') prompt, "
+    "case when starts_with(lower(trim(coalesce(answer_text, ''))), 'y') then 1.0::double else 0.0::double end verdict from p join q using (qid)"
+)
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What a model judge is given for each prediction, and how the prediction itself would be read as a judge's reply."""
+    p = first_delivery(table(spark, d, "predictions"), "pred_id", "predicted_at").join(questions(spark, d).select("qid", "question", "gold_answer"), "qid")
+    return p.select("pred_id", judge_prompt(F.col("question"), F.col("gold_answer"), F.col("answer_text")).alias("prompt"), verdict(F.col("answer_text")).alias("verdict"))
+
+
+@query(
+    f"with {_PRED} select p.pred_id, q.conv_id, p.category, q.question, p.gold_answer gold, p.answer_text answer, p.judge_label correct, p.judge_score, array_to_string(p.evidence, ' ') gold_ids, "
+    "array_to_string(list_filter(list_transform(range(len(p.retrieved)), lambda i: case when list_position(p.retrieved, p.retrieved[i + 1]) = i + 1 then p.retrieved[i + 1] end), lambda v: v is not null), ' ') retrieved_ids from p join q using (qid)"
+)
+def question_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the JSON Lines sink, written and read back."""
+    p = _scored(spark, d).join(questions(spark, d).select("qid", "question", "conv_id"), "qid")
+    one = F.transform("retrieved", lambda x: F.struct(F.lit("").alias("text"), x.alias("source_dia_ids")))
+    records = report.question_records(p.withColumn("retrieved_memories", one), "pred_id")
+    back = materialize(records, "records", file_format="json", ignoreNullFields="false")
+    ids = lambda c: F.array_join(F.filter(c, lambda x: x.isNotNull()), " ")
+    return back.select("pred_id", "conv_id", "category", "question", "gold", "answer", "correct", "judge_score", ids("gold_evidence_dia_ids").alias("gold_ids"), ids("retrieved_dia_ids").alias("retrieved_ids"))
+
+
 # ---------------------------------------------------------------- metrics
 
 
@@ -555,13 +650,13 @@ def _base_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OVER = f"{_SCORED}, su as (select config, case when grouping(category) = 1 then 'overall' else 'category' end level, category, avg(qa_accuracy) qa_accuracy, coalesce(avg(evidence_recall_at_k) filter (has_evidence), 0.0) recall from s where not with_timestamp group by grouping sets ((config), (config, category))), ov as (select config, split_part(config, '+', 1) extractor, split_part(config, '+', 2) retriever, coalesce(qa_accuracy, 0.0) acc, recall from su where level = 'overall')"
-_COLS = ", ".join(f"round(any_value(acc) filter (retriever = '{r}'), 6) {r}" for r in analyze.RETRIEVER_ORDER)
+_COLS = ", ".join(f"round(any_value(acc) filter (retriever = '{r}'), 6) {r}" for r in ("tfidf", "bm25", "word2vec", "word2vec_tfidf", "sentence_emb", "sentence_emb_e5"))
 
 
 @query(f"with {_OVER} select extractor, {_COLS} from ov where config <> 'no_memory+no_retrieval' group by extractor")
 def matrix_pivot(spark: SparkSession, d: str) -> DataFrame:
     m = analyze.matrix_pivot(_base_summary(spark, d))
-    return m.withColumns({r: F.round(r, 6) for r in analyze.RETRIEVER_ORDER})
+    return m.withColumns({r: F.round(r, 6) for r in m.columns if r != "extractor"})
 
 
 @query(f"with {_OVER} select config combo, " + ", ".join(f"round(any_value(coalesce(qa_accuracy, 0.0)) filter (category = {c}), 6) c{c}" for c in (1, 2, 3, 4)) + " from su where level = 'category' group by config")
@@ -616,5 +711,5 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     t = turns(spark, d)
     said = t.select(memory_text(True).alias("text"))
     encoders = {name: (model, digest_encoder(model)) for name, model in (("sentence_emb", "bge-stand-in"), ("sentence_emb_e5", "e5-stand-in"))}
-    resources = pl.Resources(materialize(word_vectors(spark, d, said), "vectors"), encoders)
+    resources = registry.Resources(materialize(word_vectors(spark, d, said), "vectors"), encoders)
     return _rounded(pl.summarize(pl.run_grid(t, questions(spark, d), grid.plan(), resources=resources)))

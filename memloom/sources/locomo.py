@@ -74,7 +74,13 @@ def _as_python_text(v: Column) -> Column:
 
 
 def load_qa(samples: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """``conv_id, qa_pos, question, gold_answer, evidence_dia_ids, category`` without the categories that have no answer."""
+    """``conv_id, qa_pos, question, gold_answer, evidence_dia_ids, category`` without the categories that have no answer.
+
+    Of samples with one id the last in the file (``sample_pos``) gives the questions; without that column each row does.
+    """
+    if "sample_pos" in samples.columns:
+        known = samples.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max_by("qa", "sample_pos").alias("qa"))
+        samples = known.unionByName(samples.filter(F.col(id_col).isNull()).select(id_col, "qa"))
     docs = _parsed(samples.select(F.col(id_col).alias("conv_id"), "qa"), "qa")
     listed = F.coalesce(F.try_variant_get("qa", "$", "array<variant>"), F.when(F.schema_of_variant("qa").startswith("OBJECT"), F.array("qa")))
     items = docs.select("conv_id", F.posexplode(listed).alias("qa_pos", "q")).filter("q is not null and not is_variant_null(q)")

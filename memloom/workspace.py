@@ -50,16 +50,13 @@ def _forget_all() -> None:
 atexit.register(_forget_all)
 
 
-def materialize(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and return it read back (zstd parquet, removed at exit)."""
+def materialize(df: DataFrame, name: str, *, file_format: str = "parquet", **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return it read back (zstd parquet if not said otherwise, removed at exit)."""
     spark = df.sparkSession
     path = f"{root(spark)}/memloom-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.format(file_format).options(**({"compression": "zstd"} if file_format == "parquet" else {}), **options).save(path)
     _MADE.append((spark, path))
-    stored = spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).format(file_format).load(path)
     stored._stored_at = path
     return stored
 

@@ -180,3 +180,65 @@ def test_run_summary_plans_the_whole_grid(spark, monkeypatch):
     monkeypatch.setattr(Q, "_rounded", lambda x: x)
     Q.run_summary(spark, "")
     assert len(given["entries"]) == 49 and given["turns"].count() == 1 and set(given["resources"].encoders) == {"sentence_emb", "sentence_emb_e5"}
+
+
+def test_the_first_reader_gives_the_whole_first_memory(spark):
+    """Also one of several lines, and one beyond the budget of the context."""
+    long = "word " * (CONTEXT_WORDS + 100)
+    found = spark.createDataFrame([(1, "a", 1, "line one\nline two", ["D1:1"]), (1, "a", 2, "x", ["D1:2"]), (2, "a", 1, long, ["D1:3"]), (3, "a", 1, None, None)], "qid bigint, extractor string, rank int, text string, source_dia_ids array<string>")
+    q = spark.createDataFrame([(i, "c", "q?", "g", [], 1) for i in range(1, 5)], QUESTION)
+    got = {r.qid: r for r in pl.read_records(found, q, ["a"]).collect()}
+    assert (got[1].answer_text, got[2].answer_text, got[3].answer_text, got[4].answer_text) == ("line one\nline two", long, "", "no context")
+    assert [m.text for m in got[1].retrieved_memories] == ["line one\nline two", "x"] and got[4].retrieved == []
+
+
+def test_contexts_by_rows_and_by_lists_agree(spark):
+    from memloom.operators.answer import within_budget
+
+    rows = [(q, r, " ".join("w" * (1 + (q * r) % 5) for _ in range((q * r) % 7))) for q in range(1, 6) for r in range(1, 6)]
+    found = spark.createDataFrame(rows, "qid bigint, rank int, text string")
+    by_rows = {r.qid: r.context for r in contexts(found, group=["qid"], max_words=9).collect()}
+    lists = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("m"))
+    by_lists = {r.qid: r.c for r in lists.select("qid", F.array_join(within_budget(F.col("m"), 9), "\n").alias("c")).collect()}
+    assert by_lists == {q: by_rows.get(q, "") for q in by_lists}
+
+
+def test_added_extractors_and_retrievers_run_in_the_grid(spark):
+    from memloom.plans import registry
+
+    registry.register_extractor("halves", registry.per_turn(lambda turns: [[] if t is None else t.split(";") for t in turns["text"]]))
+    registry.register_retriever("shared", registry.per_block(lambda q, m: [[len(set(a.split()) & set((b or "").split())) for b in m["text"]] for a in q["question"]], question_block=1, memory_block=2))
+    try:
+        t = turns(spark, "a tabby cat;my dog", "a red fox", None)
+        q = spark.createDataFrame([(1, "c", "which cat", "a tabby cat", ["D1:1"], 4), (2, "c", "zzz", "x", [], 1), (3, "c", "a red dog", "x", [], 1)], QUESTION)
+        p = pl.run_grid(t, q, [grid.Entry("base", "halves", "shared")], k=2).collect()
+        got = {r.qid: [m.text for m in r.retrieved_memories] for r in p}
+        assert got == {1: ["a tabby cat"], 2: [], 3: ["a red fox", "a tabby cat"]} and {r.qid: r.judge_label for r in p}[1] == 1
+        entries, skipped = registry.runnable([grid.Entry("base", "halves", "word2vec"), grid.Entry("base", "such", "bm25"), grid.Entry("base", "ner", "bm25")], registry.Resources())
+        assert [e.combo for e in entries] == ["ner+bm25"] and [why for _, why in skipped] == ["no word vectors", "no such extractor"]
+        with pytest.raises(ValueError):
+            registry.retrieve(t, q, "nothing", 1, registry.Resources())
+    finally:
+        del registry.EXTRACTORS["halves"], registry.RETRIEVERS["shared"]
+
+
+@pytest.mark.parametrize("blocks", [(4096, 1024), (2, 1)])
+def test_dense_retrieval_in_blocks_equals_brute_force(spark, monkeypatch, blocks):
+    """With one conversation that holds most rows, ties, and vectors of length zero."""
+    monkeypatch.setattr(dense, "MEMORY_BLOCK", blocks[0])
+    monkeypatch.setattr(dense, "QUESTION_BLOCK", blocks[1])
+    words = [f"w{i}" for i in range(6)]
+    v = spark.createDataFrame([(w, [float(i % 3) - 1, float(i % 2)]) for i, w in enumerate(words)], "word string, vec array<double>")
+    m = memories(spark, *[f"{words[i % 6]} {words[(i * 2) % 6]}" for i in range(25)], "unknown").unionByName(memories(spark, "w1", conv="other"))
+    q = ask(spark, "w1 w2", "w3", "nothing", "w0 w5", None)
+    got = [(r.qid, r.conv_id, r.mem_idx, r["rank"]) for r in dense.word2vec_topk(m, q, v, 4).collect()]
+    mv = {(r.conv_id, r.mem_idx): r.vec for r in dense.embed_memories(m, v).collect()}
+    want = []
+    for r in dense.embed_questions(q, m, v).collect():
+        scores = []
+        for (conv, i), x in mv.items():
+            a, b = sum(y * y for y in x) ** 0.5, sum(y * y for y in r.vec) ** 0.5
+            if conv == r.conv_id and a and b and (s := sum(y * z for y, z in zip(x, r.vec)) / a / b) > 0:
+                scores.append((-round(s, 9), i))
+        want += [(r.qid, r.conv_id, i, n + 1) for n, (_, i) in enumerate(sorted(scores)[:4])]
+    assert sorted(got) == sorted(want) and len(want) > 8

@@ -50,7 +50,8 @@ def test_loader(spark, file):
 def test_command_line_run_and_stored_summary(spark, file, tmp_path, capsys):
     cli.main(["run", file, "--base-only", "--combos", "append_all+bm25,regex_v2+tfidf,no_memory+no_retrieval", "--results", str(tmp_path), "--name", "r"], spark)
     shown = capsys.readouterr().out
-    assert shown.splitlines()[0].split() == ["combo", "n", "judge", "EM", "F1", "hit@5", "recall@5", "MRR", "empty"]
+    assert shown.splitlines()[:2] == ["reader: stub (no model)", "judge: stub (no model)"]
+    assert shown.splitlines()[2].split() == ["combo", "n", "judge", "EM", "F1", "hit@5", "recall@5", "MRR", "empty"]
     folder = tmp_path / "r" / "base"
     stored = json.loads((folder / "summary.json").read_text())
     assert stored["retrieval_k"] == 5 and {r["combo"] for r in stored["runs"]} == {"append_all+bm25", "regex_v2+tfidf", "no_memory+no_retrieval"}
@@ -90,5 +91,39 @@ def test_pivots_and_ablations(spark):
     assert {r.extractor: r.retriever for r in analyze.best_retriever(s).collect()} == {"regex": "tfidf", "regex_v2": "tfidf", "ner": "word2vec_tfidf"}
     assert {(r.ablation, r.setting): round(r.delta, 3) for r in analyze.ablation_deltas(s).collect()} == {("regex_v1_v2", "tfidf"): 0.023, ("word2vec_pooling", "ner"): 0.1}
     tables = analyze.main_tables(s)
-    assert "+2.3" in tables["ablations.md"] and "Baseline (no_memory+no_retrieval): 0.8" in tables["table_main.md"] and r"regex\_v2" in tables["table_main.tex"]
+    assert "+2.3" in tables["ablations.md"] and "Baseline (no memory): 0.8" in tables["table_main.md"] and r"regex\_v2" in tables["table_main.tex"]
     assert "| regex+tfidf | -- | 50.0 | -- | -- |" in tables["table_by_category.md"]
+    assert tables["table_main.md"].startswith("| Extractor \\ Retriever | tfidf | bm25 |") and tables["table_main.md"].endswith("Cells are QA accuracy (%) judged by the LLM judge.")
+    assert tables["table_main.tex"].splitlines()[0] == r"\begin{table}[t]" and r"No-memory baseline: 0.8\%.}" in tables["table_main.tex"] and r"\toprule" in tables["table_main.tex"]
+    assert tables["ablations.md"].startswith("## Regex rules: v1 vs v2\n\n| Retriever | v1 | v2 | delta |") and tables["ablations.md"].endswith("(v2 minus v1; tfidf minus uniform).")
+    assert tables["table_by_category.md"].startswith("| Combo |") and tables["table_by_category.md"].endswith("Per-category QA accuracy (%).")
+
+
+def test_pivot_has_every_retriever(spark):
+    """Known ones in their order, others after them by name."""
+    combos = ["regex+mine", "regex+sentence_emb_e5", "ner+tfidf", "regex+sentence_emb"]
+    s = spark.createDataFrame([(c, "overall", 0.1 * i) for i, c in enumerate(combos)], "config string, level string, qa_accuracy double")
+    m = analyze.matrix_pivot(s)
+    assert m.columns == ["extractor", "tfidf", "sentence_emb", "mine", "sentence_emb_e5"]
+    assert {r.extractor: r.mine for r in m.collect()} == {"regex": 0.0, "ner": None}
+
+
+def test_command_line_says_what_it_skips(spark, file, tmp_path, capsys):
+    vectors = tmp_path / "vectors.txt"
+    vectors.write_text("3 2\ntea 1.0 0.0\nlove 0.5 0.5\nyesterday 0.0 1.0\n")
+    args = ["run", file, "--base-only", "--no-figures", "--results", str(tmp_path)]
+    cli.main([*args, "--combos", "append_all+word2vec,append_all+word2vec_tfidf,append_all+sentence_emb", "--name", "w", "--word-vectors", str(vectors)], spark)
+    shown = capsys.readouterr().out
+    assert "[skip] base:append_all+sentence_emb: no sentence encoder" in shown
+    assert {r["combo"] for r in json.loads((tmp_path / "w" / "base" / "summary.json").read_text())["runs"]} == {"append_all+word2vec", "append_all+word2vec_tfidf"}
+    cli.main([*args, "--combos", "append_all+sentence_emb", "--name", "none"], spark)
+    assert "nothing to score" in capsys.readouterr().out and not (tmp_path / "none").exists()
+    with pytest.raises(SystemExit, match="not installed"):
+        cli.main([*args, "--reader", "model"], spark)
+
+
+def test_a_sample_delivered_again_gives_its_last_questions(spark, tmp_path):
+    path = tmp_path / "twice.json"
+    path.write_text(json.dumps([{**SAMPLES[0], "qa": [{"question": "old", "answer": "x", "category": 1}]}, SAMPLES[0], {"sample_id": "s2", "conversation": {}, "qa": []}]))
+    s = read_samples(spark, str(path))
+    assert {q.question for q in load_qa(s).collect()} == {"What does Ann love?", "n?", "b?", "null?", "none?"} and load_dialogues(s).count() == 3
