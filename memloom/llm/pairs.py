@@ -14,6 +14,7 @@ by how often its last words end sentences in the whole collection.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import unicodedata
@@ -36,6 +37,9 @@ UNRELATED_PROMPTS = 3
 DECLINING_SHARE = 0.5
 #: Log odds, in all and for each word, from which on the words of a template without such phrases are those of refusals.
 REFUSING_WORDS, REFUSING_WORD = 6.0, 1.0
+#: Share of a template's answers that may say something new (a name, a number, an unusual word) if it is to be one of refusals
+#: by its words.
+NEW_SHARE = 0.1
 #: Most frequent words that keep their form in n-grams; all others are masked.
 FREQUENT_WORDS = 1500
 #: Those that keep their form in openings, so that equal templates fall together before they are clustered.
@@ -202,20 +206,31 @@ def is_other_language(question: str | None, answer: str) -> bool:
     return best != own and score >= least and score >= 2 * said[own] + 0.5 and score >= 0.15 * len(words)
 
 
+_TERMINAL = frozenset(".!?。！？")
+
+
 def declines(answer: str) -> bool:
     t = re.sub(r"\s+", " ", plain(answer))
     return bool(_DECLINES.search(t) or _ANYWHERE.search(t))
 
 
-def opening(question: str | None, answer: str, usual: frozenset) -> str:
-    """Masked first words of an answer: numbers, words that are not usual and the words of its question lose their form.
+def opening(question: str | None, answer: str, usual: frozenset, lang: str = "") -> str:
+    """Masked first words of an answer: ``_`` for words of its question, ``#`` for numbers, ``*`` for what is new.
 
-    If little is left of it, the words that are not of the question keep their form.
+    New are words that are not usual ones, and names (a capital inside a sentence, but not in German).  If little is
+    left of an opening, the words that are not of the question keep their form.
     """
     asked = {w for w in _asked(question)[1] if w not in _LANGUAGES}
-    found = ["#" if w[0].isdigit() else "_" if w in asked else w for w in tokens(answer)[:OPENING_WORDS]]
-    masked = [w if w in usual or w == "#" else "_" for w in found]
-    return " ".join(masked if 2 * masked.count("_") <= len(masked) else found)
+    found, masked, at = [], [], 0
+    text = plain(answer)
+    for m in itertools.islice(_WORD.finditer(text), OPENING_WORDS):
+        word = m.group().lower()
+        inside = at > 0 and not any(c in _TERMINAL or c in "\n:\"“„«" for c in text[at : m.start()])
+        name = inside and lang != "de" and m.group()[0] != word[0] and word not in _LANGUAGES
+        at = m.end()
+        found.append("#" if word[0].isdigit() else "_" if word in asked else word)
+        masked.append("*" if found[-1] not in "#_" and (name or word not in usual) else found[-1])
+    return " ".join(masked if 2 * sum(w in ("_", "*") for w in masked) <= len(masked) else found)
 
 
 def prompt_template(question: str | None) -> str:
@@ -223,7 +238,6 @@ def prompt_template(question: str | None) -> str:
     return " ".join([w if w in _LANGUAGES else "_" for w in tokens(question or "")][:6])
 
 
-_TERMINAL = frozenset(".!?。！？")
 _CLOSING = "\"'”’»)]*"
 
 
@@ -344,7 +358,7 @@ def _check(frequent_of, usual_of):
         other = "other_language" if is_other_language(question, said) else None
         scores = _language_scores(said)
         lang = scores.most_common(1)[0][0] if scores else ""
-        return (other, code, declined, opening(question, said, usual_of.value), lang, _asked(question)[4], *grams, stub)
+        return (other, code, declined, opening(question, said, usual_of.value, lang), lang, _asked(question)[4], *grams, stub)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,17 +387,17 @@ def cluster_openings(openings: DataFrame) -> DataFrame:
 def refusing_by_words(labels: DataFrame, templates: DataFrame, asked_with: DataFrame) -> DataFrame:
     """``template`` of the recurring clusters that don't decline in the phrases of ``declines``, but are worded like those that do.
 
-    ``labels``: ``opening, template``; ``templates``: ``template, lang, declining, recurring``; ``asked_with``: ``opening,
+    ``labels``: ``opening, template``; ``templates``: ``template, lang, declining, recurring, vacant``; ``asked_with``: ``opening,
     prompt, n``.  The words of each template are weighed by all others of its language (smoothed log odds of a declining
     one; a word that none of those has speaks for nothing), and its answers must be spread over the prompts as evenly as
-    over ``UNRELATED_PROMPTS`` equal ones.
+    over ``UNRELATED_PROMPTS`` equal ones.  A template whose answers say something new ("The answer is Ann.") is none.
     """
-    words = labels.join(templates, "template").select("template", "lang", "declining", "recurring", F.explode(F.split("opening", " ")).alias("word")).filter("word not in ('_', '#', '')").distinct()
+    words = labels.join(templates, "template").select("template", "lang", "declining", "recurring", "vacant", F.explode(F.split("opening", " ")).alias("word")).filter("word not in ('_', '#', '*', '')").distinct()
     words = materialize(words, "words")
     of_lang = templates.groupBy("lang").agg(F.sum(F.col("declining").cast("long")).alias("lang_yes"), F.count("*").alias("lang_all"))
     known = words.groupBy("lang", "word").agg(F.sum(F.col("declining").cast("long")).alias("yes"), F.count("*").alias("all"))
     # A template judged here is one that doesn't decline; it is left out of the counts.  One row a language: broadcast.
-    own = words.filter("recurring and not declining").join(known.filter("all > 1"), ["lang", "word"]).join(F.broadcast(of_lang), "lang")
+    own = words.filter("recurring and vacant and not declining").join(known.filter("all > 1"), ["lang", "word"]).join(F.broadcast(of_lang), "lang")
     odds = F.log((F.col("yes") + 0.5) / (F.col("lang_yes") + 1)) - F.log((F.col("all") - F.col("yes") - 1 + 0.5) / (F.col("lang_all") - F.col("lang_yes") + 1))
     odds = F.when(F.col("yes") > 0, odds).otherwise(F.least(odds, F.lit(0.0)))
     worded = own.groupBy("template").agg(F.sum(odds).alias("odds"), F.count("*").alias("n_words")).filter((F.col("odds") >= REFUSING_WORDS) & (F.col("odds") >= REFUSING_WORD * F.col("n_words")))
@@ -463,9 +477,10 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     # A template needs to be seen with a few prompts only, so no more than those of each opening are counted.
     some = asked_with.withColumn("nth", F.row_number().over(Window.partitionBy("opening").orderBy("prompt"))).filter(F.col("nth") <= UNRELATED_PROMPTS)
     prompts = some.join(labels, "opening").select("template", "prompt").distinct().groupBy("template").agg(F.count("*").alias("n_prompts"))
-    templates = openings.join(labels, "opening").groupBy("template").agg(F.max("lang").alias("lang"), F.sum("n").alias("n"), F.sum("n_declined").alias("n_declined")).join(prompts, "template")
+    n_new = F.sum(F.when(F.col("opening").rlike(r"(^| )[*#]( |$)"), F.col("n")).otherwise(0)).alias("n_new")
+    templates = openings.join(labels, "opening").groupBy("template").agg(F.max("lang").alias("lang"), F.sum("n").alias("n"), F.sum("n_declined").alias("n_declined"), n_new).join(prompts, "template")
     declining = F.col("n_declined") >= DECLINING_SHARE * F.col("n")
-    templates = materialize(templates.select("template", "lang", declining.alias("declining"), (F.col("n_prompts") >= UNRELATED_PROMPTS).alias("recurring")), "votes")
+    templates = materialize(templates.select("template", "lang", declining.alias("declining"), (F.col("n_prompts") >= UNRELATED_PROMPTS).alias("recurring"), (F.col("n_new") <= NEW_SHARE * F.col("n")).alias("vacant")), "votes")
     worded = refusing_by_words(labels, templates, asked_with).withColumn("worded", F.lit(True))
     verdict = F.when(F.col("recurring"), F.col("declining"))
     verdicts = labels.join(templates, "template").join(worded, "template", "left").select("opening", verdict.alias("refuses"), F.coalesce("worded", F.lit(False)).alias("worded"))
