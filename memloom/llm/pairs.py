@@ -36,7 +36,9 @@ UNRELATED_PROMPTS = 3
 #: Share of a template's answers that must decline in words.
 DECLINING_SHARE = 0.5
 #: Log odds, in all and for each word, from which on the words of a template without such phrases are those of refusals.
-REFUSING_WORDS, REFUSING_WORD = 6.0, 1.0
+REFUSING_WORDS, REFUSING_WORD = 2.5, 0.8
+#: Answers of up to so many words keep all their frequent words in openings.
+SHORT_WORDS = 8
 #: Share of a template's answers that may say something new (a name, a number, an unusual word) if it is to be one of refusals
 #: by its words.
 NEW_SHARE = 0.1
@@ -214,15 +216,17 @@ def declines(answer: str) -> bool:
     return bool(_DECLINES.search(t) or _ANYWHERE.search(t))
 
 
-def opening(question: str | None, answer: str, usual: frozenset, lang: str = "") -> str:
+def opening(question: str | None, answer: str, usual: frozenset, lang: str = "", frequent: frozenset = frozenset()) -> str:
     """Masked first words of an answer: ``_`` for words of its question, ``#`` for numbers, ``*`` for what is new.
 
-    New are words that are not usual ones, and names (a capital inside a sentence, but not in German).  If little is
-    left of an opening, the words that are not of the question keep their form.
+    New are words that are not usual ones (in a short answer: not even ``frequent``), and names (a capital inside a
+    sentence, but not in German).  If little is left of an opening, the words that are not of the question keep their form.
     """
     asked = {w for w in _asked(question)[1] if w not in _LANGUAGES}
     found, masked, at = [], [], 0
     text = plain(answer)
+    if len(_WORD.findall(text)) <= SHORT_WORDS:
+        usual = usual | frequent
     for m in itertools.islice(_WORD.finditer(text), OPENING_WORDS):
         word = m.group().lower()
         inside = at > 0 and not any(c in _TERMINAL or c in "\n:\"“„«" for c in text[at : m.start()])
@@ -358,7 +362,7 @@ def _check(frequent_of, usual_of):
         other = "other_language" if is_other_language(question, said) else None
         scores = _language_scores(said)
         lang = scores.most_common(1)[0][0] if scores else ""
-        return (other, code, declined, opening(question, said, usual_of.value, lang), lang, _asked(question)[4], *grams, stub)
+        return (other, code, declined, opening(question, said, usual_of.value, lang, frequent_of.value), lang, _asked(question)[4], *grams, stub)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -486,8 +490,9 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     verdicts = labels.join(templates, "template").join(worded, "template", "left").select("opening", verdict.alias("refuses"), F.coalesce("worded", F.lit(False)).alias("worded"))
 
     judged = checked.join(verdicts, "opening", "left").join(early, "row", "left")
-    # An answer in another language is none in the words of refusals of its question's language.
-    refuses = F.coalesce("refuses", "declined") | F.coalesce(F.col("worded") & F.col("defect").isNull(), F.lit(False))
+    # An answer in another language is none in the words of refusals of its question's language, and of one that visibly
+    # stops too early the words that are missing might say something new.
+    refuses = F.coalesce("refuses", "declined") | F.coalesce(F.col("worded") & F.col("defect").isNull() & (F.col("cut") != 1), F.lit(False))
     defect = (
         F.when(F.col("defect").isin("empty", "copied_question"), F.col("defect"))
         .when(refuses, "refusal")
