@@ -14,7 +14,6 @@ by how often its last words end sentences in the whole collection.
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 import re
 import unicodedata
@@ -182,16 +181,16 @@ def _is_name(text: str) -> bool:
 
 
 @functools.lru_cache(maxsize=5_000)
-def _asked(question: str | None) -> tuple[str, list[str], str, str | None, str]:
-    """Tidied question, its words, script, language and template; pairs of one question share them."""
+def _asked(question: str | None) -> tuple[str, list[str], str, frozenset, str | None, str]:
+    """Tidied question, its words, script, words but for function words, language and template; pairs of one question share them."""
     q = plain(question)
-    scores = _language_scores(q)
-    return q, tokens(q), _script(q), scores.most_common(1)[0][0] if scores else None, prompt_template(q)
+    scores, words = _language_scores(q), tokens(q)
+    return q, words, _script(q), frozenset(w for w in words if w not in _LANGUAGES), scores.most_common(1)[0][0] if scores else None, prompt_template(q)
 
 
 def is_other_language(question: str | None, answer: str) -> bool:
     """Whole words of the answer belong to a language, or a script, that the question is not in."""
-    q, _, script, own, _ = _asked(question)
+    q, _, script, _, own, _ = _asked(question)
     a = _own_words(plain(answer))
     words = _LETTERS.findall(a)
     if not q or sum(map(len, words)) < 4:
@@ -216,25 +215,25 @@ def declines(answer: str) -> bool:
     return bool(_DECLINES.search(t) or _ANYWHERE.search(t))
 
 
+_MARKED = frozenset("#_")
+# A word with a capital that follows another word of its sentence.
+_INSIDE_CAPITAL = re.compile(r"(?<=[\w,;)'’] )[^\W\d_a-zß-öø-ÿ][\w'’-]*")
+
+
 def opening(question: str | None, answer: str, usual: frozenset, lang: str = "", frequent: frozenset = frozenset()) -> str:
     """Masked first words of an answer: ``_`` for words of its question, ``#`` for numbers, ``*`` for what is new.
 
     New are words that are not usual ones (in a short answer: not even ``frequent``), and names (a capital inside a
     sentence, but not in German).  If little is left of an opening, the words that are not of the question keep their form.
     """
-    asked = {w for w in _asked(question)[1] if w not in _LANGUAGES}
-    found, masked, at = [], [], 0
-    text = plain(answer)
-    if len(_WORD.findall(text)) <= SHORT_WORDS:
-        usual = usual | frequent
-    for m in itertools.islice(_WORD.finditer(text), OPENING_WORDS):
-        word = m.group().lower()
-        inside = at > 0 and not any(c in _TERMINAL or c in "\n:\"“„«" for c in text[at : m.start()])
-        name = inside and lang != "de" and m.group()[0] != word[0] and word not in _LANGUAGES
-        at = m.end()
-        found.append("#" if word[0].isdigit() else "_" if word in asked else word)
-        masked.append("*" if found[-1] not in "#_" and (name or word not in usual) else found[-1])
-    return " ".join(masked if 2 * sum(w in ("_", "*") for w in masked) <= len(masked) else found)
+    asked, text = _asked(question)[3], plain(answer)
+    words = _WORD.findall(text)
+    if len(words) <= SHORT_WORDS:
+        usual = frequent or usual
+    names = set() if lang == "de" else {w.lower() for w in _INSIDE_CAPITAL.findall(text)} - _LANGUAGES.keys()
+    found = ["#" if w[0].isdigit() else "_" if w in asked else w for w in map(str.lower, words[:OPENING_WORDS])]
+    masked = [w if w in _MARKED or w in usual and w not in names else "*" for w in found]
+    return " ".join(masked if 2 * (masked.count("_") + masked.count("*")) <= len(masked) else found)
 
 
 def prompt_template(question: str | None) -> str:
@@ -362,7 +361,7 @@ def _check(frequent_of, usual_of):
         other = "other_language" if is_other_language(question, said) else None
         scores = _language_scores(said)
         lang = scores.most_common(1)[0][0] if scores else ""
-        return (other, code, declined, opening(question, said, usual_of.value, lang, frequent_of.value), lang, _asked(question)[4], *grams, stub)
+        return (other, code, declined, opening(question, said, usual_of.value, lang, frequent_of.value), lang, _asked(question)[5], *grams, stub)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
