@@ -31,6 +31,7 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--batch-size", type=int, default=16)
     run.add_argument("--combos", default=None)
     run.add_argument("--results", default="results")
+    run.add_argument("--records", choices=("files", "folders"), default="files", help="folders: records of a configuration in many part files")
     run.add_argument("--word-vectors", default=None, help="text file of word vectors (default: the model of W2V_MODEL, if gensim is installed)")
     run.add_argument("--reader", choices=("stub", "model"), default="stub", help="model: the local model of READER_MODEL")
     run.add_argument("--judge", choices=("stub", "model"), default="stub", help="model: the local model of JUDGE_MODEL")
@@ -110,7 +111,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         summary = pipeline.summary(own, ["config"])
         rows = report.in_order(report.rows_of(summary), [e.combo for e in entries])
         report.write_reports(rows, out / variant, 5)
-        report.write_question_records(own, out / variant / "questions")
+        if args.records == "files":
+            report.write_question_files(own, out / variant)
+        else:
+            report.write_question_records(own, out / variant / "questions")
         print(report.render_console(rows, 5))
         if not args.no_figures:
             analyze.generate(summary, out / variant / "figures")

@@ -130,3 +130,24 @@ def question_records(scored: DataFrame, *more: str) -> DataFrame:
 def write_question_records(scored: DataFrame, output_dir: str | Path) -> None:
     """JSON Lines, one folder for each configuration; written in parallel by the tasks that hold the rows."""
     question_records(scored).write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("config").json(str(output_dir))
+
+
+def write_question_files(scored: DataFrame, output_dir: str | Path) -> list[str]:
+    """The same records as one file ``<config>.jsonl`` for each configuration.
+
+    A task writes a configuration's rows as they come, so nothing is gathered; the part files are then renamed.
+    """
+    staging = f"{output_dir}/_questions"
+    question_records(scored).repartition("config").write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("config").json(staging)
+    jvm, conf = scored.sparkSession.sparkContext._jvm, scored.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(staging)
+    fs = where.getFileSystem(conf)
+    made = []
+    for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staging}/config=*/part-*.json")):
+        config = part.getPath().getParent().getName().removeprefix("config=").replace("%2B", "+")
+        target = jvm.org.apache.hadoop.fs.Path(f"{output_dir}/{config}.jsonl")
+        fs.delete(target, False)
+        fs.rename(part.getPath(), target)
+        made.append(target.toString())
+    fs.delete(where, True)
+    return sorted(made)

@@ -58,10 +58,14 @@ def test_command_line_run_and_stored_summary(spark, file, tmp_path, capsys):
     assert "# Evaluation Report" in (folder / "report.md").read_text() and (folder / "figures" / "table_main.tex").exists()
     loaded = load_runs(spark, str(folder))
     assert loaded.filter("level = 'overall'").count() == 3 and loaded.filter("level = 'category' and category = 4").count() == 3
-    records = spark.read.json(str(folder / "questions"))
-    assert {"gold", "answer", "correct", "retrieved_dia_ids"} <= set(records.columns) and records.count() == 15
+    assert sorted(p.name for p in folder.glob("*.jsonl")) == ["append_all+bm25.jsonl", "no_memory+no_retrieval.jsonl", "regex_v2+tfidf.jsonl"]
+    records = [json.loads(line) for line in (folder / "append_all+bm25.jsonl").read_text().splitlines()]
+    assert {"gold", "answer", "correct", "retrieved_dia_ids"} <= set(records[0]) and len(records) == 5
+    cli.main(["run", file, "--base-only", "--combos", "append_all+bm25", "--results", str(tmp_path), "--name", "f", "--records", "folders", "--no-figures"], spark)
+    assert spark.read.json(str(tmp_path / "f" / "base" / "questions")).count() == 5
     cli.main(["analyze", str(folder)], spark)
     assert latest_run(str(tmp_path / "r")).name == "base"
+    capsys.readouterr()
     cli.main(["count", file], spark)
     assert "1 dialogues, 5 questions" in capsys.readouterr().out
     with pytest.raises(FileNotFoundError):
