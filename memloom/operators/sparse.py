@@ -21,7 +21,10 @@ TOP_K = 5
 
 
 def tokenized(memories: DataFrame) -> DataFrame:
-    """Memories with their terms ``t`` instead of their text, written once for the several statistics that read them."""
+    """Memories with their terms ``t`` instead of their text, written once for the several statistics that read them.
+
+    A memory is to be one row: ``records.first_delivery`` drops those that were delivered again.
+    """
     return materialize(memories.select(*MEMORY, tokens(F.col("text")).alias("t")), "tokens")
 
 
@@ -30,12 +33,19 @@ def _terms(memories: DataFrame) -> Column:
 
 
 def term_freq(memories: DataFrame) -> DataFrame:
-    """``extractor, conv_id, mem_idx, n_terms, term, tf`` of every memory; memories without a term have no row."""
-    found = memories.select(*MEMORY, _terms(memories).alias("t")).select(*MEMORY, F.size("t").alias("n_terms"), F.explode("t").alias("term"))
+    """``extractor, conv_id, mem_idx, n_terms, term, tf`` of every memory; memories without a term have no row.
+
+    Memories are brought together by their key before their terms are counted: one row of a memory is moved, not one
+    for each of its terms.
+    """
+    found = memories.select(*MEMORY, _terms(memories).alias("t")).repartition(*MEMORY).select(*MEMORY, F.size("t").alias("n_terms"), F.explode("t").alias("term"))
     return found.groupBy(*MEMORY, "n_terms", "term").agg(F.count("*").alias("tf"))
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:
+    """``extractor, conv_id, term, df``: memories of each scope that hold a term, from ``term_freq`` or ``tokenized`` memories."""
+    if "t" in postings.columns:
+        postings = postings.select(*SCOPE, F.explode(F.array_distinct("t")).alias("term"))
     return postings.groupBy(*SCOPE, "term").agg(F.count("*").alias("df"))
 
 
@@ -54,8 +64,9 @@ def idf_bm25(n_docs: Column, df: Column) -> Column:
 
 def idf_table(memories: DataFrame, formula) -> DataFrame:
     """``extractor, conv_id, term, df, idf`` by one of the two formulas."""
+    memories = memories.select(*MEMORY, _terms(memories).alias("t"))
     stats = doc_stats(memories)
-    return doc_freq(term_freq(memories)).join(stats, SCOPE).select(*SCOPE, "term", "df", formula(F.col("n_docs"), F.col("df")).alias("idf"))
+    return doc_freq(memories).join(stats, SCOPE).select(*SCOPE, "term", "df", formula(F.col("n_docs"), F.col("df")).alias("idf"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -76,7 +87,7 @@ def tfidf_scores(memories: DataFrame, questions: DataFrame) -> DataFrame:
     """Cosine of TF-IDF vectors, for the memories that share a known term with the question."""
     memories = tokenized(memories)
     postings, stats = term_freq(memories), doc_stats(memories)
-    idf = doc_freq(postings).join(stats, SCOPE).select(*SCOPE, "term", idf_smooth(F.col("n_docs"), F.col("df")).alias("idf"))
+    idf = doc_freq(memories).join(stats, SCOPE).select(*SCOPE, "term", idf_smooth(F.col("n_docs"), F.col("df")).alias("idf"))
     # Read by the norms and by the products.
     weights = materialize(postings.join(idf, [*SCOPE, "term"]).select(*MEMORY, "term", "idf", (F.col("tf") * F.col("idf")).alias("w")), "weights")
     idf = weights.groupBy(*SCOPE, "term").agg(F.first("idf").alias("idf"))
@@ -92,7 +103,7 @@ def bm25_scores(memories: DataFrame, questions: DataFrame, *, k1: float = K1, b:
     """BM25 with the always-positive IDF; a term that a question repeats counts as often."""
     memories = tokenized(memories)
     postings, stats = term_freq(memories), doc_stats(memories)
-    idf = doc_freq(postings).join(stats, SCOPE).select(*SCOPE, "term", "avg_len", idf_bm25(F.col("n_docs"), F.col("df")).alias("idf"))
+    idf = doc_freq(memories).join(stats, SCOPE).select(*SCOPE, "term", "avg_len", idf_bm25(F.col("n_docs"), F.col("df")).alias("idf"))
     asked = question_terms(questions).join(idf, ["conv_id", "term"])
     tf = F.col("tf").cast("double")
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("n_terms") / F.col("avg_len")))
