@@ -133,7 +133,7 @@ def _match_rows(refs: DataFrame, rows: DataFrame) -> DataFrame:
     """As-of match on time: whether some row of the key is there at ``t`` (the latest removal among rows arrived by then)."""
     key = [*SPACE, "key"]
     wanted = materialize(refs.groupBy(*key).agg(F.count("*").alias("n"), F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "asked")
-    rows = rows.join(wanted.select(*key, "parts"), key)
+    rows = rows.join(wanted.select(*key, "parts").hint("merge"), key)
     part = F.pmod(F.xxhash64("row_id", "dia_id"), F.col("parts")).cast("int").alias("part")
     left = rows.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("ingested_at").alias("at"), F.lit(0).alias("side"), "deleted_at", F.lit(None).alias("ref"))
     right = hot_join(refs, wanted, key, "n", stored=True).select(*key, part, F.col("t").alias("at"), F.lit(1).alias("side"), F.lit(None).alias("deleted_at"), F.struct("src_table", "row_id", "dia_id", "t").alias("ref"))

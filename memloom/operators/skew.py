@@ -28,5 +28,5 @@ def hot_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how:
     hot = table.orderBy(F.desc(weight), *on).limit(limit).select(*kept).withColumn("_hot", F.lit(True))
     marked = rows.join(F.broadcast(hot), on, "left")
     found = marked.filter(F.col("_hot").isNotNull()).drop("_hot")
-    rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns).join(table.select(*kept), on, how)
+    rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns).join(table.select(*kept).hint("merge"), on, how)
     return found.unionByName(rest.select(*found.columns))
