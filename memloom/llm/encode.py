@@ -148,19 +148,56 @@ def encode_corpus(
     return positions.groupBy("block").cogroup(coded.groupBy("of_block")).applyInArrow(_reassemble(id_col, id_type), f"{id_col} {id_sql}, ids array<int>")
 
 
+def _join_bytes(id_name: str, id_type: pa.DataType):
+    """Put the bytes of each row's tokens together, which come one after the other and in order."""
+
+    def text_of(parts: list[bytes], given: bool) -> str | None:
+        return b"".join(parts).decode("utf-8", "replace") if given else None
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, doc, given, parts, expected = None, None, True, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, pos = batch.column(0).to_numpy(), batch.column(3).fill_null(0).to_numpy()
+            tokens = batch.column(4)
+            offsets = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+            data = tokens.buffers()[2] or pa.py_buffer(b"")
+            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            ends = np.append(starts[1:], len(row))
+            if (pos - np.repeat(pos[starts], ends - starts) != np.arange(len(row)) - np.repeat(starts, ends - starts)).any():
+                raise RuntimeError("tokens out of order")
+            ids, flags = batch.column(1).take(pa.array(starts)).to_pylist(), batch.column(2).take(pa.array(starts)).to_pylist()
+            done: tuple[list, list] = ([], [])
+            for start, end, of, flag in zip(starts.tolist(), ends.tolist(), ids, flags):
+                if row[start] != last:
+                    if last is not None:
+                        done[0].append(doc)
+                        done[1].append(text_of(parts, given))
+                    last, doc, given, parts, expected = row[start], of, flag, [], 0
+                if pos[start] != expected:
+                    raise RuntimeError("tokens out of order")
+                parts.append(data[int(offsets[start]) : int(offsets[end])].to_pybytes())
+                expected = pos[end - 1] + 1
+            yield pa.RecordBatch.from_arrays([pa.array(done[0], id_type), pa.array(done[1], pa.string())], [id_name, "text"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([doc], id_type), pa.array([text_of(parts, given)], pa.string())], [id_name, "text"])
+
+    return together
+
+
 def decode_corpus(coded: DataFrame, *, id_col: str = "doc_id", tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """``id_col, text`` of ``coded(id_col, ids)``: the token-byte table is joined and the bytes put together by position.
 
-    The table has the tokenizer's fixed size, so it is sent to every task.  Repeated rows and null ids are kept; null
-    ids give a null text and no ids an empty one.
+    The table has the tokenizer's fixed size, so it is sent to every task; the tokens of a row stay in its task and in
+    their order, which is checked, so nothing is shuffled.  Repeated rows and null ids are kept; a null list gives a null
+    text and an empty one an empty text.
     """
     spark = coded.sparkSession
+    id_field = coded.schema[id_col].dataType
+    id_type = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string()}[type(id_field)]
     table = list(token_bytes(rank_bytes(tokenizer, tokenizer_dir)).items())
     table = spark.createDataFrame(pa.table({"token": pa.array([i for _, i in table], pa.int32()), "bytes": pa.array([b for b, _ in table], pa.binary())}))
-    # Each row has a number of its own, fixed as it is written; partitioned by it, the tokens of a row never move again.
-    rows = materialize(coded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), "ids"), "coded")
-    tokens = rows.repartition("row").select("row", F.posexplode("ids").alias("pos", "token")).join(F.broadcast(table), "token")
-    in_order = F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("hex"))))
-    texts = tokens.groupBy("row").agg(F.unhex(F.array_join(in_order["hex"], "")).cast("string").alias("text"))
-    text = F.when(F.col("ids").isNotNull(), F.coalesce("text", F.lit("")))
-    return rows.join(texts, "row", "left").select(F.col("id").alias(id_col), text.alias("text"))
+    rows = coded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col("ids").isNotNull().alias("given"), "ids")
+    tokens = rows.select("row", "id", "given", F.posexplode_outer("ids").alias("pos", "token")).join(F.broadcast(table), "token", "left")
+    return in_arrow(tokens.select("row", "id", "given", "pos", "bytes"), _join_bytes(id_col, id_type), f"{id_col} {id_field.simpleString()}, text string")

@@ -34,6 +34,9 @@ def test_corpus_ids_and_round_trip(spark):
     assert decode_corpus(coded).count() == len(rows)
     assert all(back[i] == (t or "") for i, t, _ in rows)
     assert encode_corpus(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    odd = spark.createDataFrame([("a", None), ("a", []), (None, ids("long text " * 9000)), ("b", ids("é日"))], "doc_id string, ids array<int>")
+    assert sorted(map(str, [tuple(r) for r in decode_corpus(odd).collect()])) == sorted(map(str, [("a", None), ("a", ""), (None, "long text " * 9000), ("b", "é日")]))
+    assert decode_corpus(odd.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(4))
