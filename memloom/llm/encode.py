@@ -159,24 +159,25 @@ def _join_bytes(id_name: str, id_type: pa.DataType):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, pos = batch.column(0).to_numpy(), batch.column(3).fill_null(0).to_numpy()
-            tokens = batch.column(4)
+            row, pos, tokens = batch.column(0).to_numpy(), batch.column(1).fill_null(0).to_numpy(), batch.column(2)
             offsets = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
             data = tokens.buffers()[2] or pa.py_buffer(b"")
             starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             ends = np.append(starts[1:], len(row))
             if (pos - np.repeat(pos[starts], ends - starts) != np.arange(len(row)) - np.repeat(starts, ends - starts)).any():
                 raise RuntimeError("tokens out of order")
-            ids, flags = batch.column(1).take(pa.array(starts)).to_pylist(), batch.column(2).take(pa.array(starts)).to_pylist()
+            heads = batch.column(3).take(pa.array(starts)).to_pylist()
             done: tuple[list, list] = ([], [])
-            for start, end, of, flag in zip(starts.tolist(), ends.tolist(), ids, flags):
+            for start, end, head in zip(starts.tolist(), ends.tolist(), heads):
                 if row[start] != last:
                     if last is not None:
                         done[0].append(doc)
                         done[1].append(text_of(parts, given))
-                    last, doc, given, parts, expected = row[start], of, flag, [], 0
-                if pos[start] != expected:
+                    last, parts, expected = row[start], [], 0
+                if pos[start] != expected or (head is None) == (expected == 0):
                     raise RuntimeError("tokens out of order")
+                if head is not None:
+                    doc, given = head["id"], head["given"]
                 parts.append(data[int(offsets[start]) : int(offsets[end])].to_pybytes())
                 expected = pos[end - 1] + 1
             yield pa.RecordBatch.from_arrays([pa.array(done[0], id_type), pa.array(done[1], pa.string())], [id_name, "text"])
@@ -198,6 +199,9 @@ def decode_corpus(coded: DataFrame, *, id_col: str = "doc_id", tokenizer: str =
     id_type = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string()}[type(id_field)]
     table = list(token_bytes(rank_bytes(tokenizer, tokenizer_dir)).items())
     table = spark.createDataFrame(pa.table({"token": pa.array([i for _, i in table], pa.int32()), "bytes": pa.array([b for b, _ in table], pa.binary())}))
-    rows = coded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col("ids").isNotNull().alias("given"), "ids")
-    tokens = rows.select("row", "id", "given", F.posexplode_outer("ids").alias("pos", "token")).join(F.broadcast(table), "token", "left")
-    return in_arrow(tokens.select("row", "id", "given", "pos", "bytes"), _join_bytes(id_col, id_type), f"{id_col} {id_field.simpleString()}, text string")
+    head = F.struct(F.col(id_col).alias("id"), F.col("ids").isNotNull().alias("given"))
+    rows = coded.select(F.monotonically_increasing_id().alias("row"), head.alias("head"), "ids")
+    tokens = rows.select("row", "head", F.posexplode_outer("ids").alias("pos", "token")).join(F.broadcast(table), "token", "left")
+    # What is the row's own goes with its first token only.
+    first = F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("head")).alias("head")
+    return in_arrow(tokens.select("row", "pos", "bytes", first), _join_bytes(id_col, id_type), f"{id_col} {id_field.simpleString()}, text string")
