@@ -5,8 +5,11 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from memloom.operators import postings, sparse
+from memloom.operators.answer import budgeted
+from memloom.queries import memory
 
 MEMORY = "extractor string, conv_id string, mem_idx int, text string, source_dia_ids array<string>"
 QUESTION = "qid bigint, conv_id string, question string"
@@ -55,3 +58,26 @@ def test_rows_of_one_key_are_one_document(spark):
     got = {r.mem_idx: r.score for r in sparse.bm25_topk(m, spark.createDataFrame([(1, "c", "cat")], QUESTION)).collect()}
     idf = math.log(1 + (4 - 2 + 0.5) / 2.5)
     assert got == pytest.approx({0: idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 2 / 1.5)), 1: idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 / 1.5))})
+
+
+@pytest.mark.parametrize("name", ["context_budget_texts"])
+def test_texts_come_with_the_search(spark, data, name):
+    """No join brings texts to what was found, and no grouping puts it together again."""
+    plan = memory.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("FlatMapCoGroupsInArrow")]
+    assert not any(x in above for x in ("Join", "Aggregate", "Window", "Sort"))
+
+
+def test_lists_hold_every_question_and_extractor(spark):
+    m = spark.createDataFrame([("a", "c", 0, "cat", ["x"]), ("a", "c", 1, None, []), ("a", "c", 2, "cat dog", None)], MEMORY)
+    q = spark.createDataFrame([(1, "c", "dog cat"), (2, "none", "cat"), (3, None, "cat"), (None, "c", "cat"), (4, "c", None)], QUESTION)
+    got = {(r.qid, r.extractor): [(m.rank, m.text) for m in r.memories] for r in sparse.bm25_lists(m, q, ["a", "b"]).collect()}
+    assert got.pop((1, "a")) == [(1, "cat dog"), (2, "cat")]
+    assert sorted(got, key=str) == sorted([(1, "b"), *[(i, e) for i in (2, 3, None, 4) for e in "ab"]], key=str) and not any(got.values())
+
+
+def test_budget_over_lists(spark):
+    rows = [(1, 2), (2, 2), (2, 1), (3, 1)]
+    lists = spark.createDataFrame([([(rank, n, "x") for rank, n in rows],)], "m array<struct<rank:int,n_words:int,text:string>>")
+    kept = lambda words: [tuple(x) for x in lists.select(budgeted(F.col("m"), words)).first()[0]]
+    assert [x[3] for x in kept(9)] == [2, 5, 5, 6] and len(kept(5)) == 3 and len(kept(4)) == 1 and not kept(1)
