@@ -482,7 +482,8 @@ _BUDGET = (
 
 @query(f"with {_BUDGET} select qid, extractor, \"rank\", n_words, used from run where used <= 40")
 def context_budget_40(spark: SparkSession, d: str) -> DataFrame:
-    return context_budget(_found(spark, d), group=["qid", "extractor"], max_words=40).select("qid", "extractor", "rank", "n_words", "used")
+    found = sparse.bm25_lists(_counted(spark, d), questions(spark, d), given=("n_words",))
+    return found.select("qid", "extractor", F.inline(budgeted(F.col("memories"), 40)))
 
 
 @query(f"with {_BUDGET} select qid, extractor, string_agg(coalesce(text, ''), chr(10) order by \"rank\") context, count(*) n_used from run where used <= 1500 group by all")
