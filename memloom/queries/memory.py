@@ -502,7 +502,8 @@ _READ = (
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return pl.read_records(_found(spark, d), questions(spark, d), ["append_all", "regex", "regex_v2", "ner"])
+    q = questions(spark, d).withColumnRenamed("evidence_dia_ids", "evidence")
+    return pl.read_lists(sparse.bm25_lists(memories(spark, d), q, EXTRACTED, carried=("qid", "conv_id", "category", "question", "gold_answer", "evidence")))
 
 
 @query(f"with {_READ} select qid, config, answer_text, n_memories from rd")
