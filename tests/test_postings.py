@@ -60,7 +60,7 @@ def test_rows_of_one_key_are_one_document(spark):
     assert got == pytest.approx({0: idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 2 / 1.5)), 1: idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 / 1.5))})
 
 
-@pytest.mark.parametrize("name", ["context_budget_40", "context_budget_texts", "read_records", "judge_predictions"])
+@pytest.mark.parametrize("name", ["context_budget_40", "context_budget_texts", "read_records", "judge_predictions", "reader_prompts"])
 def test_texts_come_with_the_search(spark, data, name):
     """No join brings texts to what was found, and no grouping puts it together again."""
     plan = memory.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
