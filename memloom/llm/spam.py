@@ -14,8 +14,10 @@ numbers, reach the driver.  The beliefs weigh a fixed share of all lines, so the
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +69,20 @@ _BETWEEN = re.compile(r" [>»|/·•›→] |\s\|\s|[>»|›→]\s")
 _PRODUCT = re.compile(r"\bSKU\W?\d|\b(?:EUR|USD|GBP)\s?\d|[€$£]\s?\d|\b\d+\.\d\d\s*\||\bin stock\b|\b\d{3}-[A-Z]\b")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _STOP = re.compile(r"[.!?…](?:\s|$)|[。！？।؟]")
+# What a match of a costlier pattern above holds (besides a digit, of products): where it is missing, that pattern need not be tried.
+_DIGIT = re.compile(r"\d")
+_GOODS = re.compile(r"[€$£|-]|SKU|EUR|USD|GBP")
+_MARK = re.compile(r"[>»|/·•›→]")
+# Characters beyond the Latin blocks.
+_BEYOND = re.compile(r"[^\0-\u024f]+")
+# ASCII letters made small, and a space for what stands between words.
+_SMALL = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 _ENDS = frozenset(".!?…。！？\"”»)")
 
 # Numbers of values of the features, in the order of ``_symbol``.
 _SIZES = (5, 3, 5, 5, 3, 3, 3)
+# Where the values of the shares begin, after the first.
+_FUNCTION_EDGES, _LINK_EDGES, _SHOP_EDGES = (0.08, 0.2, 0.3), (0.02, 0.3), (0.01, 0.1, 0.25)
 
 
 def lines_of(text: str) -> list[str]:
@@ -95,8 +107,9 @@ def lines_of(text: str) -> list[str]:
     return out
 
 
-def _bin(x: float, *edges: float) -> int:
-    return sum(x >= e for e in edges)
+def words_of(line: str) -> list[str]:
+    """The words of a line, in small letters (by ``_WORD``; the quicker way for ASCII finds the same)."""
+    return line.encode().translate(_SMALL).decode().split() if line.isascii() else _WORD.findall(line.lower())
 
 
 def symbols_of(lines: list[str]) -> list[int]:
@@ -107,57 +120,59 @@ def symbols_of(lines: list[str]) -> list[int]:
     state; its other features count.  Short words, among which its function words are, are no repeated ones there,
     and repeated words say nothing where sentences end.
     """
-    split = [_WORD.findall(line.lower()) for line in lines]
-    counts: Counter = Counter()
-    for words in split:
-        counts.update(words)
-    least = max(4, 0.02 * sum(counts.values()))
+    split = list(map(words_of, lines))
+    counts = Counter(chain.from_iterable(split))
+    least = max(4, 0.02 * sum(map(len, split)))
     # Content words that make up a good part of the page.
     dense = {w for w, n in counts.items() if n >= least and w not in FUNCTION_WORDS}
     out = []
     for line, words in zip(lines, split):
         n = len(words) or 1
-        function = sum(map(FUNCTION_WORDS.__contains__, words)) / n
-        if n > 12:  # lists join their keywords by the same one or two function words again and again
-            function = min(function, 2 * len(FUNCTION_WORDS.intersection(words)) / n)
-        shop = sum(map(SHOP_WORDS.__contains__, words)) / n
-        linked = 0.0
-        if "/" in line or "www." in line or "](" in line:
-            linked = sum(len(m.group()) for m in _LINK.finditer(line)) / len(line)
-        repeated = sum(map(dense.__contains__, words)) / n if dense else 0.0
-        again = shape = odd = 0
         foreign = not line.isascii() and _foreign(line)
         own = dense
+        repeated = 0.0
+        again = shape = odd = 0
         if foreign:
             function, shop, odd = 0.0, 0.0, 1
             own = {w for w in dense if len(w) >= 4 or len(w) >= 2 and w[0] > "\u2e80"}
-            repeated = 0.0 if _STOP.search(line) else sum(map(own.__contains__, words)) / n
+        else:
+            known = list(filter(FUNCTION_WORDS.__contains__, words))
+            function = len(known) / n
+            if n > 12:  # lists join their keywords by the same one or two function words again and again
+                function = min(function, 2 * len(set(known)) / n)
+            shop = 0.0 if SHOP_WORDS.isdisjoint(words) else sum(map(SHOP_WORDS.__contains__, words)) / n
+        linked = 0.0
+        if "/" in line or "www." in line or "](" in line:
+            linked = sum(len(m.group()) for m in _LINK.finditer(line)) / len(line)
+        if not own.isdisjoint(words) and not (foreign and _STOP.search(line)):
+            repeats = list(filter(own.__contains__, words))
+            repeated = len(repeats) / n
         if repeated > 0.25:
-            top = max(Counter(w for w in words if w in own).values())
-            again = 0 if function >= 0.3 and not shop else 2 if top >= 3 else 1
+            again = 0 if function >= 0.3 and not shop else 2 if max(Counter(repeats).values()) >= 3 else 1
         if function < 0.3:
+            digits = _DIGIT.search(line)
             if "#" in line and len(_TAG.findall(line)) * 4 > n:
                 shape = 3
-            elif _PRODUCT.search(line):
+            elif (digits and _GOODS.search(line) or "in stock" in line) and _PRODUCT.search(line):
                 shape = 4
-            elif len(_BETWEEN.findall(line)) >= 3:
+            elif _MARK.search(line) and len(_BETWEEN.findall(line)) >= 3:
                 shape = 1
-            elif sum(map(line.count, ",،、，" if foreign else ",")) > (0.5 if foreign else 0.25) * n:
+            elif (sum(map(line.count, ",،、，")) if foreign else line.count(",")) > (0.5 if foreign else 0.25) * n:
                 shape = 2
-            if not foreign and (not words or max(map(len, words)) >= 40 or sum(map(str.isdigit, words)) > 0.5 * n):
+            if not foreign and (not words or len(line) >= 40 and max(map(len, words)) >= 40 or (digits or not line.isascii()) and sum(map(str.isdigit, words)) > 0.5 * n):
                 odd = 2
         ends = 0 if line.rstrip()[-1:] in _ENDS else 1 if n <= 5 else 2
-        code = 0
-        for value, k in zip((4 if foreign else _bin(function, 0.08, 0.2, 0.3), _bin(linked, 0.02, 0.3), shape, 4 if foreign else _bin(shop, 0.01, 0.1, 0.25), again, ends, odd), _SIZES):
-            code = code * k + value
-        out.append(code)
+        function = 4 if foreign else bisect_right(_FUNCTION_EDGES, function)
+        shop = 4 if foreign else bisect_right(_SHOP_EDGES, shop)
+        # By ``_SIZES``, written out.
+        out.append((((((function * 3 + bisect_right(_LINK_EDGES, linked)) * 5 + shape) * 5 + shop) * 3 + again) * 3 + ends) * 3 + odd)
     return out
 
 
 def _foreign(line: str) -> bool:
     """Whether most letters are of a script other than the Latin one."""
-    letters = [c for c in line if c.isalpha()]
-    return sum(c > "\u024f" for c in letters) * 2 > len(letters)
+    beyond = sum(map(str.isalpha, "".join(_BEYOND.findall(line))))
+    return beyond > 0 and beyond * 2 > sum(map(str.isalpha, line))
 
 
 def _beliefs() -> list[np.ndarray]:
@@ -195,17 +210,17 @@ _VALUES = _values(np.arange(_N_SYMBOLS))
 
 
 def _together(pages: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Groups of pages of like lengths, longest first: their places, their symbols in a padded table, and how many of them reach each line."""
-    order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: -len(pages[i]))
+    """Groups of pages of like lengths, longest first: their places, their symbols in a padded table (rows: lines), and how many of them reach each line."""
+    lengths = np.fromiter(map(len, pages), np.int64, len(pages))
+    order = np.argsort(-lengths, kind="stable")[: np.count_nonzero(lengths)]
     at = 0
     while at < len(order):
-        longest = len(pages[order[at]])
+        longest = int(lengths[order[at]])
         group = order[at : at + max(1, TOGETHER // longest)]
-        table = np.zeros((len(group), longest), np.int64)
-        for row, i in enumerate(group):
-            table[row, : len(pages[i])] = pages[i]
-        lengths = np.array([len(pages[i]) for i in group])
-        yield group, table, (lengths[:, None] > np.arange(longest)).sum(0)
+        there = lengths[group, None] > np.arange(longest)
+        table = np.zeros(there.shape, np.int64)
+        table[there] = np.concatenate([pages[i] for i in group])
+        yield group.tolist(), np.ascontiguousarray(table.T), there.sum(0)
         at += len(group)
 
 
@@ -227,33 +242,35 @@ class LineModel:
         """Expected counts of starts, moves and feature values over the pages, one after the other in one vector."""
         n = len(STATES)
         log_b = self.log_emissions()
-        table = np.exp(log_b - log_b.max(1, keepdims=True))
+        table = np.ascontiguousarray(np.exp(log_b - log_b.max(1, keepdims=True)).T)
         starts, moves, seen = np.zeros(n), np.zeros((n, n)), np.zeros((_N_SYMBOLS, n))
         for _, symbols, reach in _together(pages):
-            b = table[symbols]
+            # States first, then lines, then pages: one step works on whole rows of pages.
+            b = table.take(symbols, axis=1)
             alpha, beta = np.zeros_like(b), np.ones_like(b)
-            a = self.start * b[:, 0]
-            alpha[:, 0] = a / a.sum(1, keepdims=True)
+            a = self.start[:, None] * b[:, 0]
+            alpha[:, 0] = a / a.sum(0)
             for t in range(1, b.shape[1]):
                 on = reach[t]
-                a = (alpha[:on, t - 1] @ self.move) * b[:on, t]
-                alpha[:on, t] = a / a.sum(1, keepdims=True)
+                a = (self.move.T @ alpha[:, t - 1, :on]) * b[:, t, :on]
+                alpha[:, t, :on] = a / a.sum(0)
             for t in range(b.shape[1] - 2, -1, -1):
                 on = reach[t + 1]
-                x = (b[:on, t + 1] * beta[:on, t + 1]) @ self.move.T
-                beta[:on, t] = x / x.sum(1, keepdims=True)
-            there = np.arange(len(b))[:, None] < reach
-            gamma = (alpha * beta)[there]
-            gamma /= gamma.sum(1, keepdims=True)
-            starts += (alpha[:, 0] * beta[:, 0] / (alpha[:, 0] * beta[:, 0]).sum(1, keepdims=True)).sum(0)
-            flat = symbols[there]
+                x = self.move @ (b[:, t + 1, :on] * beta[:, t + 1, :on])
+                beta[:, t, :on] = x / x.sum(0)
+            # Lines that are no padding, and those of them that follow another (their places in the table without its first line).
+            there = np.flatnonzero(np.arange(b.shape[2]) < reach[:, None])
+            follows = there[b.shape[2] :] - b.shape[2]
+            gamma = (alpha * beta).reshape(n, -1).take(there, axis=1)
+            gamma /= gamma.sum(0)
+            starts += gamma[:, : b.shape[2]].sum(1)
+            flat = symbols.ravel()[there]
             for state in range(n):
-                seen[:, state] += np.bincount(flat, gamma[:, state], _N_SYMBOLS)
-            follows = there[:, 1:]
-            left, right = alpha[:, :-1][follows], (b[:, 1:] * beta[:, 1:])[follows]
-            if len(left):
-                weight = 1.0 / np.einsum("ni,ij,nj->n", left, self.move, right)
-                moves += self.move * ((left * weight[:, None]).T @ right)
+                seen[:, state] += np.bincount(flat, gamma[state], _N_SYMBOLS)
+            left = alpha[:, :-1].reshape(n, -1).take(follows, axis=1)
+            right = (b[:, 1:] * beta[:, 1:]).reshape(n, -1).take(follows, axis=1)
+            weight = 1.0 / ((self.move.T @ left) * right).sum(0)
+            moves += self.move * ((left * weight) @ right.T)
         features = [np.stack([np.bincount(v, seen[:, state], k) for state in range(n)]) for v, k in zip(_VALUES, _SIZES)]
         return np.concatenate([starts, moves.ravel(), *[f.ravel() for f in features]])
 
@@ -276,23 +293,27 @@ class LineModel:
     def states(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """The likeliest states of each page's lines (Viterbi)."""
         out: list[np.ndarray] = [np.zeros(0, np.int8) for _ in pages]
-        emit, move = self.log_emissions(), np.log(self.move)
+        emit, move = np.ascontiguousarray(self.log_emissions().T), np.log(self.move)[:, :, None]
         for group, symbols, reach in _together(pages):
-            table = emit[symbols]
-            score = np.log(self.start) + table[:, 0]
+            table = emit.take(symbols, axis=1)
+            score = np.log(self.start)[:, None] + table[:, 0]
             back = np.zeros(table.shape, np.int8)
             for t in range(1, table.shape[1]):
                 on = reach[t]
-                steps = score[:on, :, None] + move
-                back[:on, t] = steps.argmax(1)
-                score[:on] = steps.max(1) + table[:on, t]
+                best, origin = score[0, :on] + move[0], back[:, t, :on]
+                for state in range(1, len(STATES)):
+                    step = score[state, :on] + move[state]
+                    np.copyto(origin, np.int8(state), where=step > best)
+                    np.maximum(best, step, out=best)
+                score[:, :on] = best + table[:, t, :on]
             state = np.zeros(symbols.shape, np.int8)
-            last = score.argmax(1)
+            last = score.argmax(0)
             rows = np.arange(len(group))
             for t in range(table.shape[1] - 1, -1, -1):
                 on = reach[t]
-                state[:on, t] = last[:on]
-                last[:on] = back[rows[:on], t, last[:on]]
+                state[t, :on] = last[:on]
+                last[:on] = back[last[:on], t, rows[:on]]
+            state = np.ascontiguousarray(state.T)
             for row, i in enumerate(group):
                 out[i] = state[row, : len(pages[i])]
         return out

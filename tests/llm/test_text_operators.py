@@ -319,6 +319,34 @@ def test_pages_are_computed_together_as_alone():
     assert all(np.allclose(e.sum(1), 1) for e in better.emit) and np.allclose(better.move.sum(1), 1)
 
 
+def test_lines_are_described_in_few_calls():
+    """Most of the time of the query is spent here: a line of prose costs a bounded number of calls, and quicker ways find what the patterns find."""
+    import sys
+
+    from memloom.llm import spam
+
+    lines, calls = [f"{PROSE}{i} of the houses were as old as that one." for i in range(200)], 0
+
+    def seen(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(seen)
+    try:
+        spam.symbols_of(lines)
+    finally:
+        sys.setprofile(None)
+    assert calls < 30 * len(lines)
+    for line in [*map(chr, range(128)), "Aa_b-C9 \x1cd", "Überall_im É9²", "ΟΔΟΣ İ", "中文 हिन्दी", ""]:
+        assert spam.words_of(line) == spam._WORD.findall(line.lower())
+    products = ["SKU-7", "SKU 7", "EUR 5", "GBP7", "€ 5", "$7", "£9", "9.99 |", "in stock", "123-A"]
+    assert all(spam._PRODUCT.search(x) and (spam._DIGIT.search(x) and spam._GOODS.search(x) or "in stock" in x) for x in products)
+    assert all(spam._MARK.search(x) for x in (" > ", " » ", " | ", " / ", " · ", " • ", " › ", " → ", "> ") if spam._BETWEEN.search(x))
+    # A page of each kind has the values that the plain patterns gave.
+    assert {k: spam.symbols_of(spam.lines_of(t))[:2] for k, t in SPAM.items()} == {"keywords": [375, 375], "links": [3438, 3438], "menu": [159], "tags": [510, 510], "products": [2634, 2634], "sentences": [6174, 6174]}
+    assert not spam._foreign("Ça va, naïve é 1 – “2”") and not spam._foreign("–“”…") and spam._foreign("мы b") and spam._foreign("中文 a")
+
+
 def test_spam_pages_of_a_table(spark):
     pages = list(SPAM.items()) + list(FINE.items())
     rows = [(i, t, 0.0) for i, (_, t) in enumerate(pages)] + [(0, SPAM["keywords"], 0.0)]
